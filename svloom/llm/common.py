@@ -32,7 +32,8 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again: later steps see one fixed state of it and survive the loss of executors."""
     spark = df.sparkSession
     path = new_folder(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    # rows can hold some MB each: the writer then looks at its memory after a few rows, not after a hundred
+    df.write.option("compression", "zstd").option("parquet.block.size.row.check.min", "8").option("parquet.page.size.row.check.min", "8").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._svloom_path = path
     return out

@@ -18,7 +18,7 @@ QUERIES = {
     "op10_warc": "warc",
 }
 #: Those whose module has SQL for the result
-WITH_SQL = ("op10_warc",)
+WITH_SQL = ("op2_voronoi_knn", "op10_warc")
 
 
 def _query(module: str, name: str):

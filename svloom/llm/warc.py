@@ -167,7 +167,7 @@ h AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS h
 f AS (SELECT hx, min(page_id) AS first_id FROM h GROUP BY hx),
 bits AS (SELECT hx, string_agg(lpad(bin(('0x' || substr(hx, 2 * i + 1, 2))::INT), 8, '0'), '' ORDER BY i) AS s
   FROM (SELECT DISTINCT hx FROM h), range(20) r(i) GROUP BY hx),
-d AS (SELECT hx, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum(list_transform(range(5), j -> CAST(substr(s, 5 * k + j + 1, 1) AS INT) * (16 >> j)))::INT, 1), '' ORDER BY k) AS digest
+d AS (SELECT hx, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum(list_transform(range(5), lambda j: CAST(substr(s, 5 * k + j + 1, 1) AS INT) * (16 >> j)))::INT, 1), '' ORDER BY k) AS digest
   FROM bits, range(32) q(k) GROUP BY hx)
 SELECT h.page_id, h.payload_bytes, d.digest AS payload_digest,
   CASE WHEN h.page_id = f.first_id THEN 'response' ELSE 'revisit' END AS record_type,
