@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 from .common import ragged, read_table, slices, staged
 
 CAPACITY, END = 1024, 2
-#: Units that a worker keeps encoded; beyond it, it starts anew.
-CACHE_UNITS = 1_000_000
+#: Units that a worker keeps encoded; beyond it, it starts anew. Units that the library gets in one text.
+CACHE_UNITS, UNITS_AT_ONCE = 1_000_000, 1000
+#: White space other than single spaces and line breaks, and neighbours of it that the split pattern takes together.
+UNCLEAN = ["  ", " \n", "\n ", "\n\n", *map(chr, [9, 11, 12, 13, 0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])]
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, task long, rank long"
 
 
@@ -42,6 +44,7 @@ class UnitEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.line = self.library.encode("\n", add_special_tokens=False).ids[0]
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.forget()
 
@@ -51,23 +54,31 @@ class UnitEncoder:
         self.known: dict[str, int] = {}
         self.bank, self.starts, self.sizes = array("I"), array("q"), array("q")
 
-    def keep(self, units: list[str]) -> None:
-        for u, e in zip(units, self.library.encode_batch_fast(units, add_special_tokens=False), strict=True):
-            self.known[u] = len(self.sizes)
-            self.starts.append(len(self.bank))
-            ids = e.ids
-            self.sizes.append(len(ids))
-            self.bank.extend(ids)
+    def keep(self, keys: list[str]) -> None:
+        """Encodes new units, many in one text, one per line: no token spans a line break, and no unit has one inside."""
+        for a in range(0, len(keys), UNITS_AT_ONCE):
+            some = keys[a : a + UNITS_AT_ONCE]
+            ids = self.library.encode_batch_fast(["\n".join([k[1:] if k[0] in "\n\t" else " " + k for k in some])], add_special_tokens=False)[0].ids
+            at = [-1, *[i for i, x in enumerate(ids) if x == self.line], len(ids)]
+            if len(at) != len(some) + 1:
+                raise ValueError("the vocabulary joins line breaks with words")
+            for k, i, j in zip(some, at[:-1], at[1:], strict=True):
+                own = ids[i:j] if k[0] == "\n" and i >= 0 else ids[i + 1 : j]
+                if k[0] == "\n" and i < 0:
+                    own = [self.line, *own]
+                self.known[k] = len(self.sizes)
+                self.starts.append(len(self.bank))
+                self.sizes.append(len(own))
+                self.bank.extend(own)
 
     def units(self, text: str) -> list[str] | None:
-        """The text's units, or None if it must be encoded whole."""
-        if any(s in text for s in self.special):
+        """The text's units: words that a space precedes as they are, others with what precedes them, a line break or (a tab: first) nothing.
+        None if it must be encoded whole."""
+        if not text or text[0] in " \n" or text[-1] in " \n" or any(x in text for x in UNCLEAN) or any(s in text for s in self.special):
             return None
         words = text.replace("\n", " \n").split(" ")
-        # clean: single spaces and line breaks only, none at either end; str.split() knows all white space
-        if sum(map(len, words)) != sum(map(len, text.split())) + text.count("\n") or "\n" in words or "" in words:
-            return None
-        return [words[0], *[w if w[0] == "\n" else " " + w for w in words[1:]]]
+        words[0] = "\t" + words[0]
+        return words
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.known) > CACHE_UNITS:
