@@ -93,9 +93,10 @@ class UnitEncoder:
                 flat += u
             ends.append(len(flat))
         at = list(map(self.known.get, flat))
-        if None in at:
-            self.keep([u for u in dict.fromkeys(flat) if u not in self.known])
-            at = list(map(self.known.get, flat))
+        if missing := [i for i, k in enumerate(at) if k is None]:
+            self.keep(list(dict.fromkeys(flat[i] for i in missing)))
+            for i in missing:
+                at[i] = self.known[flat[i]]
         which = np.array(at, dtype=np.int64)
         if flat:
             n = np.frombuffer(self.sizes, dtype=np.int64)[which]
