@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -39,6 +40,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Frees the shuffle files of finished steps: Spark deletes them once nothing on the driver refers to them, but only when it collects garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def drop_staged(*tables: DataFrame) -> None:
     """Deletes staged tables that no later step reads."""
     for df in tables:

@@ -26,13 +26,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, drop_staged, encoded, ragged, read_table, slices, staged
+from .common import components, drop_staged, encoded, ragged, read_table, release, slices, staged
 from .substring_dedup import mixed, rolling, word_hashes
 
 REGISTERS, ROWS, BASE = 128, 4, 1.1
 BANDS = REGISTERS // ROWS
 #: Members and shingles of a block.
 BLOCK_MEMBERS, BLOCK_SHINGLES = 512, 1 << 18
+#: Up to so many cluster members, their ids (some 16 bytes each) are broadcast to pick their texts; beyond it, a shuffle join does.
+BROADCAST_MEMBERS = 1 << 20
 #: Estimates this far below the limit are let go: over six standard deviations of an estimate from REGISTERS registers.
 MARGIN = 0.22
 _rng = np.random.default_rng(8)
@@ -177,7 +179,10 @@ def candidates(classes: DataFrame) -> DataFrame:
 
 def with_sets(documents: DataFrame, members: DataFrame, size: int) -> DataFrame:
     """members(rep, digest, sketch, cluster, block, blocks) with their sets, from the documents' texts."""
-    texts = documents.select(F.col("doc_id").cast("long").alias("rep"), "text").join(members, "rep")
+    texts = documents.select(F.col("doc_id").cast("long").alias("rep"), "text")
+    if members.count() <= BROADCAST_MEMBERS:
+        texts = texts.join(F.broadcast(members.select("rep")), "rep", "left_semi")
+    texts = texts.join(members, "rep")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["rep", "digest", "sketch", "cluster", "block", "blocks"]
@@ -217,14 +222,20 @@ TASK = ["cluster", "x", "y", "side", "rep", "sketch", "shingles"]
 
 def classes_of(documents: DataFrame, size: int = 4, limit: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of documents(doc_id, text)."""
+    spark = documents.sparkSession
     facts = staged(described(documents, size), "sketches")
     classes = facts.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n"))
     classes = staged(classes, "classes")
-    clusters = components(candidates(classes), "clusters").withColumnRenamed("component", "cluster")
+    near = staged(candidates(classes), "candidates")
+    release(spark)
+    clusters = components(near, "clusters").withColumnRenamed("component", "cluster")
+    release(spark)
     members = classes.join(clusters.withColumnRenamed("node", "rep"), "rep")
     sizes = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK_MEMBERS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     members = members.join(sizes, "cluster").withColumn("block", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("rep"), "blocks")).otherwise(0).cast("int"))
-    sets = staged(with_sets(documents, members.select("rep", "digest", "sketch", "cluster", "block", "blocks"), size), "sets")
+    members = staged(members.select("rep", "digest", "sketch", "cluster", "block", "blocks"), "members")
+    sets = staged(with_sets(documents, members, size), "sets")
+    release(spark)
 
     # first all blocks with block 0
     zero = F.lit(0)
@@ -232,6 +243,7 @@ def classes_of(documents: DataFrame, size: int = 4, limit: int = 80) -> DataFram
     right = sets.withColumn("x", zero).withColumn("y", F.col("block")).withColumn("side", F.when(F.col("block") == 0, 2).otherwise(1))
     found = staged(compared(left.select(TASK).unionByName(right.select(TASK)), limit), "links")
     linked = components(found, "linked")
+    release(spark)
 
     # then what is left of large clusters, with every block
     large = sets.where("blocks > 1").select("cluster", "rep", "block", "blocks")
@@ -245,7 +257,8 @@ def classes_of(documents: DataFrame, size: int = 4, limit: int = 80) -> DataFram
         every = sets.where("blocks > 1").join(parts, "cluster").withColumn("x", F.explode(F.sequence(zero, F.col("parts") - 1))).withColumn("y", F.col("block")).withColumn("side", F.lit(1))
         more = staged(compared(again.select(TASK).unionByName(every.select(TASK)), limit), "links")
         linked = components(found.unionByName(more), "linked")
-    drop_staged(sets)
+    drop_staged(sets, members, near)
+    release(spark)
 
     known = classes.select("digest", "rep").join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     some = facts.where("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "n_shingles", "digest")
