@@ -30,6 +30,17 @@ def islands(df: DataFrame, keys: list[str], start: str, end: str, distance: int,
     return df.join(placed.join(ends, [*keys, first]).select(*spot, first, last), spot)
 
 
+def islands_within(df: DataFrame, keys: list[str], start: str, end: str, distance: int, names: tuple[str, str]) -> DataFrame:
+    """The same for keys that already are small groups: plain windows over one exchange. Windows stream and spill; ties do not matter."""
+    first, last = names
+    order = Window.partitionBy(*keys).orderBy(start)
+    so_far = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    gap = so_far.isNull() | ((F.col(start) > so_far) & (F.col(start) - so_far > distance))
+    out = df.withColumn("__open", F.when(gap, F.col(start)))
+    out = out.withColumn(first, F.max("__open").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("__open")
+    return out.withColumn(last, F.max(end).over(Window.partitionBy(*keys, first)))
+
+
 def island_ranges(df: DataFrame, keys: list[str], start: str, end: str, distance: int, bin_size: int = ISLAND_BIN) -> DataFrame:
     """The clusters themselves: keys, island_start, island_end, n (rows)."""
     return islands(df, keys, start, end, distance, bin_size=bin_size).groupBy(*keys, "island_start", "island_end").agg(F.count("*").alias("n"))

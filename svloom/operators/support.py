@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import upper_median
 from .evidence import MATE_UNMAPPED, has
-from .intervals import interval_join, islands
+from .intervals import interval_join, islands, islands_within
 
 STATE = ["strand_pr", "strand_sa", "up_pr", "up_sa"]
 POSITION = "chrom_pr string, chrom_sa string, target_break_pr long, target_break_sa long, strand_pr string, strand_sa string, up_pr boolean, up_sa boolean, breaks_pr array<long>, breaks_sa array<long>, starts_pr array<long>, starts_sa array<long>, support_sr long, cipos long"
@@ -46,7 +46,7 @@ def collapsed(evidence: DataFrame, reach: int = 5, stranded: bool = False) -> Da
     keys = ["chrom_pr", "chrom_sa"]
     cut = evidence.withColumns({"__p": F.col("target_break_pr") + 1, "__s": F.col("target_break_sa") + 1})
     cut = islands(cut, keys, "target_break_pr", "__p", reach, ("__i", "__ie"))
-    cut = islands(cut, [*keys, "__i"], "target_break_sa", "__s", reach, ("__j", "__je"))
+    cut = islands_within(cut, [*keys, "__i"], "target_break_sa", "__s", reach, ("__j", "__je"))
     wanted = ["rec_idx", "sa_idx", *keys, "target_break_pr", "target_break_sa", *STATE, "aln_start_pr", "aln_start_sa", "precision", "__i", "__j"]
     return cut.select(*wanted).groupBy(*keys, "__i", "__j").applyInPandas(lambda rows: collapse_group(rows, reach, stranded), POSITION)
 
