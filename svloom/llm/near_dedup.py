@@ -3,10 +3,10 @@
 1. Every document gets its set of word shingles, the set's digest and a sketch of REGISTERS bytes: register i is the truncated
    logarithm, to base BASE, of the smallest of the set's exponential variates, so the sketch of a union is the maximum of sketches.
 2. Equal digests are one class (equal sets); its smallest doc_id stands for it from here on.
-3. Bands of ROWS registers: representatives with an equal band go to the band's smallest representative. Connected, these pairs give
-   candidate clusters; nobody's pairs are ever listed in full.
-4. Within clusters, blocks meet blocks: similarities are estimated jointly by maximum likelihood from how many registers are larger,
-   equal and smaller, and pairs that may link are verified on the full sets. A cluster of one block compares it with itself. In a
+3. Bands of ROWS registers: of representatives with an equal band, similarities are estimated jointly by maximum likelihood from how
+   many registers are larger, equal and smaller. Pairs that may link, connected, give candidate clusters; only a forest of them ever
+   leaves a task.
+4. Within clusters, blocks meet blocks: pairs that may link by the same estimate are verified on the full sets. A cluster of one block compares it with itself. In a
    larger one all blocks first meet block 0 only; members that this does not connect to the cluster's largest component then meet
    every block. Pairs within that component need no test, as components are asked for.
 5. Links are connected; a component's number is its smallest doc_id.
@@ -33,6 +33,8 @@ REGISTERS, ROWS, BASE = 128, 4, 1.1
 BANDS = REGISTERS // ROWS
 #: Members and shingles of a block.
 BLOCK_MEMBERS, BLOCK_SHINGLES = 512, 1 << 18
+#: Members of a band up to which its pairs are estimated in one task.
+BUCKET = 2048
 #: Up to so many cluster members, their ids (some 16 bytes each) are broadcast to pick their texts; beyond it, a shuffle join does.
 BROADCAST_MEMBERS = 1 << 20
 #: Estimates this far below the limit are let go: over six standard deviations of an estimate from REGISTERS registers.
@@ -169,12 +171,52 @@ def described(documents: DataFrame, size: int) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(describe, "doc_id long, n_shingles long, digest binary, sketch binary")
 
 
-def candidates(classes: DataFrame) -> DataFrame:
-    """(a, b): representatives and the smallest one that they share a band with."""
+def close(sketch_a: np.ndarray, n_a: np.ndarray, sketch_b: np.ndarray, n_b: np.ndarray, limit: int) -> np.ndarray:
+    """For rows of sketches side by side: whether the estimate leaves room for a link."""
+    larger, smaller = (sketch_a > sketch_b).sum(-1), (sketch_a < sketch_b).sum(-1)
+    return estimates(larger, smaller, n_a, n_b) >= limit / 100 - MARGIN
+
+
+def candidates(classes: DataFrame, limit: int) -> DataFrame:
+    """(a, b): edges that connect all representatives that may link, through bands that they share.
+
+    Bands with the same members count once. A band of two is a pair; in one of up to BUCKET, all estimates are made where it stands and
+    a forest of the close pairs leaves the task; the members of a larger one go to its smallest without an estimate, so that it is never
+    gathered."""
     bands = F.array(*[F.xxhash64(F.lit(i), F.substring("sketch", ROWS * i + 1, ROWS)) for i in range(BANDS)])
     rows = classes.select("rep", F.explode(bands).alias("band"))
-    lowest = rows.groupBy("band").agg(F.min("rep").alias("b"), F.count("*").alias("n")).where("n > 1").select("band", "b")
-    return rows.join(lowest, "band").where("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
+    buckets = rows.groupBy("band").agg(F.min("rep").alias("b"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("members")).where("n > 1")
+    buckets = buckets.groupBy("members", "n", "b").agg(F.min("band").alias("band")).select("band", "b", "n")
+    kept = staged(rows.join(buckets, "band"), "buckets")
+    facts = classes.select("rep", "sketch", F.col("n").alias("size"))
+    sketch = lambda column: np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, REGISTERS)
+
+    def pair_filter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                good = close(sketch(batch.column("sketch_a")), batch.column("size_a").to_numpy(), sketch(batch.column("sketch_b")), batch.column("size_b").to_numpy(), limit)
+                yield batch.select(["a", "b"]).filter(pa.array(good))
+
+    def forest(key: tuple, t: pa.Table) -> pa.Table:
+        ids, size, s = t.column("rep").to_numpy(), t.column("size").to_numpy(), sketch(t.column("sketch"))
+        group = np.arange(len(ids))
+        out: list[tuple[int, int]] = []
+        for r in range(len(ids) - 1):
+            rest = np.flatnonzero(group[r + 1 :] != group[r]) + r + 1  # those that it is not yet connected with
+            if len(rest):
+                for k in rest[close(s[r][None], size[r], s[rest], size[rest], limit)].tolist():
+                    if group[k] != group[r]:
+                        group[group == group[k]] = group[r]
+                        out.append((int(ids[r]), int(ids[k])))
+        return pa.table([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
+
+    pairs = kept.where("n = 2 AND rep <> b").select(F.col("rep").alias("a"), "b").distinct()
+    for side in "ab":
+        pairs = pairs.join(facts.select(F.col("rep").alias(side), F.col("sketch").alias(f"sketch_{side}"), F.col("size").alias(f"size_{side}")), side)
+    pairs = pairs.mapInArrow(pair_filter, "a long, b long")
+    few = kept.where(F.col("n").between(3, BUCKET)).select("band", "rep").join(facts, "rep").groupBy("band").applyInArrow(forest, "a long, b long")
+    many = kept.where((F.col("n") > BUCKET) & (F.col("rep") != F.col("b"))).select(F.col("rep").alias("a"), "b")
+    return pairs.unionByName(few).unionByName(many).distinct()
 
 
 def with_sets(documents: DataFrame, members: DataFrame, size: int) -> DataFrame:
@@ -226,7 +268,7 @@ def classes_of(documents: DataFrame, size: int = 4, limit: int = 80) -> DataFram
     facts = staged(described(documents, size), "sketches")
     classes = facts.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n"))
     classes = staged(classes, "classes")
-    near = staged(candidates(classes), "candidates")
+    near = staged(candidates(classes, limit), "candidates")
     release(spark)
     clusters = components(near, "clusters").withColumnRenamed("component", "cluster")
     release(spark)
