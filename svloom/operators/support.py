@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.stats import upper_median
 from .evidence import MATE_UNMAPPED, has
 from .intervals import interval_join, islands, islands_within
+from .staging import staged
 
 STATE = ["strand_pr", "strand_sa", "up_pr", "up_sa"]
 POSITION = "chrom_pr string, chrom_sa string, target_break_pr long, target_break_sa long, strand_pr string, strand_sa string, up_pr boolean, up_sa boolean, breaks_pr array<long>, breaks_sa array<long>, starts_pr array<long>, starts_sa array<long>, support_sr long, cipos long"
@@ -87,6 +88,7 @@ def median_depth(reads: DataFrame) -> DataFrame:
 
 def with_support(positions: DataFrame, alignments: DataFrame, reach: int = 500) -> DataFrame:
     """positions with support_sp and sp_ratio, the smaller of both sides' support by median depth; 0 without reads."""
+    positions = staged(positions)
     numbered = positions if "pos" in positions.columns else positions.withColumn("pos", F.xxhash64(*[c for c in positions.columns if not c.startswith("__")]))
     reads = overlapping(windows(numbered, reach), alignments)
     depth = median_depth(reads).groupBy("pos").pivot("side", ["pr", "sa"]).agg(F.first("depth"))

@@ -161,7 +161,7 @@ def evaluated_sql(source: str, cigar: str, nm: str, start: str, strand: str, pre
 @query("cigar_eval", f"""SELECT cigar, nm, start, strand, fp_target, upstream, downstream, round(sim, 3) AS similarity, seq_length, match_length, match_length_s, fp_query, aln_end FROM ({evaluated_sql("(" + CIGARS + ")", "cigar", "nm", "start", "strand")}) WHERE fp_target IS NOT NULL""")
 def cigar_eval(spark, d):
     df = table(spark, d, CIGARS, "lineitem")
-    df = df.withColumn("e", cg.evaluate(F.col("cigar"), F.col("nm"), F.col("start"), F.col("strand"))).where("e IS NOT NULL")
+    df = cg.evaluated(df, "e", F.col("cigar"), F.col("nm"), F.col("start"), F.col("strand")).where("e IS NOT NULL")
     kept = ["fp_target", "upstream", "downstream", "seq_length", "match_length", "match_length_s", "fp_query", "aln_end"]
     return df.select("cigar", "nm", "start", "strand", *[F.col(f"e.{c}").alias(c) for c in kept], F.round(F.col("e.similarity").cast("double"), 3).alias("similarity"))
 
@@ -229,7 +229,7 @@ def fragment_filter(spark, d):
 @query("sa_explode", f"SELECT rec_idx, i AS sa_idx, x_chrom, x_start, x_strand, x_cigar, x_nm FROM ({ELEMENTS})")
 def sa_explode(spark, d):
     rows = evidence.passing(records_of(spark, d), "fragment")
-    rows = rows.withColumn("pr", cg.evaluate(F.col("cigar"), F.col("nm"), F.col("pos"), evidence.strand_of(F.col("flag")))).where("pr IS NOT NULL AND pr.similarity >= 98.0")
+    rows = cg.evaluated(rows, "pr", F.col("cigar"), F.col("nm"), F.col("pos"), evidence.strand_of(F.col("flag"))).where("pr IS NOT NULL AND pr.similarity >= 98.0")
     rows = rows.select("rec_idx", F.posexplode(cg.supplementary(F.col("sa"))).alias("sa_idx", "x"))
     return rows.select("rec_idx", "sa_idx", F.col("x.chrom").alias("x_chrom"), F.col("x.start").alias("x_start"), F.col("x.strand").alias("x_strand"), F.col("x.cigar").alias("x_cigar"), F.col("x.nm").alias("x_nm"))
 
@@ -249,9 +249,9 @@ PRUNED = f"""WITH e AS ({EVIDENCE}), m AS (
  pruned AS (SELECT * EXCLUDE (n, best) FROM (SELECT *, row_number() OVER (PARTITION BY query_name, least(cigar_pr, cigar_sa), greatest(cigar_pr, cigar_sa) ORDER BY rec_idx, sa_idx, precision NULLS LAST, cigar_sa, target_break_sa) AS n FROM k) WHERE n = 1)"""
 
 
-@query("evidence_prune", f"{PRUNED} SELECT * REPLACE (CAST(precision AS BIGINT) AS precision, CAST(support AS BIGINT) AS support) FROM pruned")
+@query("evidence_prune", f"{PRUNED} SELECT * REPLACE (CAST(coalesce(precision, -1) AS BIGINT) AS precision, CAST(support AS BIGINT) AS support) FROM pruned")
 def evidence_prune(spark, d):
-    return evidence.pruned(evidence_of(spark, d))
+    return evidence.pruned(evidence_of(spark, d)).withColumn("precision", F.coalesce("precision", F.lit(-1)))
 
 
 CALLED = """laid AS (SELECT *, CASE WHEN up_pr THEN chrom_pr ELSE chrom_sa END AS a_chrom, CASE WHEN up_pr THEN ps ELSE ss END AS a_start, CASE WHEN up_pr THEN pe ELSE se END AS a_end, CASE WHEN up_pr THEN strand_pr ELSE strand_sa END AS a_strand,
@@ -266,9 +266,10 @@ def calls_of(spark, d) -> DataFrame:
     return evidence.fragment_calls(evidence.pruned(evidence_of(spark, d)))
 
 
-@query("fragment_calls", f"{PRUNED}, {CALLED} SELECT *, CASE WHEN fp_fuzzy IS NULL OR fp_fuzzy > 10 THEN 'FAILED' ELSE '.' END AS filter FROM calls")
+@query("fragment_calls", f"{PRUNED}, {CALLED} SELECT * REPLACE (coalesce(fp_fuzzy, -1) AS fp_fuzzy, coalesce(fusion_distance, -1) AS fusion_distance), CASE WHEN fp_fuzzy IS NULL OR fp_fuzzy > 10 THEN 'FAILED' ELSE '.' END AS filter FROM calls")
 def fragment_calls(spark, d):
-    return calls_of(spark, d).withColumn("filter", evidence.quality_flag(F.col("fp_fuzzy")))
+    calls = calls_of(spark, d).withColumn("filter", evidence.quality_flag(F.col("fp_fuzzy")))
+    return calls.withColumns({c: F.coalesce(c, F.lit(-1)) for c in ("fp_fuzzy", "fusion_distance")})
 
 
 @query("fusion_chroms", f"{PRUNED}, {CALLED} SELECT DISTINCT p_partkey FROM (SELECT p_partkey, concat('c', CAST(p_partkey % 7 AS STRING)) AS c FROM part) WHERE c IN (SELECT a_chrom FROM calls UNION SELECT b_chrom FROM calls)")
@@ -448,10 +449,11 @@ def merge_best_b(spark, d):
     return merge.best_partner(merge.near(*sets_of(spark, d), 30))
 
 
-@query("bnd_merge_full", f"""{MATCHES} SELECT 'A' AS source, a_id AS id, a_chr1 AS chr1, a_fp1 AS fp1, a_chr2 AS chr2, a_fp2 AS fp2, CASE WHEN topread IS NOT NULL THEN 'PASS' WHEN a_failed THEN 'FAILED' ELSE '.' END AS filter, topread, sdp, sp, sr, fr, CASE WHEN topread IS NOT NULL AND a_failed AND last_failed THEN 'MED' WHEN topread IS NOT NULL THEN 'HIGH' WHEN a_failed THEN 'LOW' ELSE 'MED' END AS evidence FROM a LEFT JOIN best USING (a_id)
- UNION ALL SELECT 'B', b_id, b_chr1, b_fp1, b_chr2, b_fp2, CASE WHEN b_failed THEN 'FAILED' ELSE '.' END, NULL, sdp, sp, sr, fr, CASE WHEN b_failed THEN 'LOW' ELSE 'MED' END FROM b WHERE b_id NOT IN (SELECT b_id FROM m)""")
+@query("bnd_merge_full", f"""{MATCHES} SELECT * REPLACE (coalesce(topread, -1) AS topread, coalesce(sdp, -1) AS sdp, coalesce(sp, -1) AS sp, coalesce(sr, -1) AS sr, coalesce(fr, -1) AS fr) FROM (SELECT 'A' AS source, a_id AS id, a_chr1 AS chr1, a_fp1 AS fp1, a_chr2 AS chr2, a_fp2 AS fp2, CASE WHEN topread IS NOT NULL THEN 'PASS' WHEN a_failed THEN 'FAILED' ELSE '.' END AS filter, topread, sdp, sp, sr, fr, CASE WHEN topread IS NOT NULL AND a_failed AND last_failed THEN 'MED' WHEN topread IS NOT NULL THEN 'HIGH' WHEN a_failed THEN 'LOW' ELSE 'MED' END AS evidence FROM a LEFT JOIN best USING (a_id)
+ UNION ALL SELECT 'B', b_id, b_chr1, b_fp1, b_chr2, b_fp2, CASE WHEN b_failed THEN 'FAILED' ELSE '.' END, NULL, sdp, sp, sr, fr, CASE WHEN b_failed THEN 'LOW' ELSE 'MED' END FROM b WHERE b_id NOT IN (SELECT b_id FROM m))""")
 def bnd_merge_full(spark, d):
-    return merge.merged(*sets_of(spark, d), 30)
+    out = merge.merged(*sets_of(spark, d), 30)
+    return out.withColumns({c: F.coalesce(c, F.lit(-1)) for c in ("topread", "sdp", "sp", "sr", "fr")})
 
 
 @query("bnd_merge_simple_flag", f"{MATCHES} SELECT a_id, CAST(a_id IN (SELECT a_id FROM m) AS INTEGER) AS supported FROM a")
@@ -466,10 +468,10 @@ def upper_median(spark, d):
     return spark.read.parquet(f"{d}/lineitem.parquet").groupBy("l_suppkey").agg(stats.upper_median("l_partkey").alias("median"))
 
 
-@query("precision_stddev", "SELECT o_custkey, CASE WHEN count(*) > 2 THEN CAST(round(stddev_samp(o_orderkey % 97)) AS BIGINT) END AS precision FROM orders GROUP BY o_custkey")
+@query("precision_stddev", "SELECT o_custkey, CASE WHEN count(*) > 2 THEN CAST(round(stddev_samp(o_orderkey % 97)) AS BIGINT) ELSE -1 END AS precision FROM orders GROUP BY o_custkey")
 def precision_stddev(spark, d):
     got = spark.read.parquet(f"{d}/orders.parquet").groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.col("o_orderkey") % 97)).alias("x"))
-    return got.select("o_custkey", stats.precision(F.col("x")).alias("precision"))
+    return got.select("o_custkey", F.coalesce(stats.precision(F.col("x")), F.lit(-1)).alias("precision"))
 
 
 READS = "SELECT concat('q', CAST(l_orderkey AS STRING)) AS qname, CAST(l_suppkey % 3 AS STRING) AS chrom, (l_partkey * 9973 + l_orderkey * 31) % 400000 AS aln_start, (l_partkey * 9973 + l_orderkey * 31) % 400000 + CAST(l_quantity AS BIGINT) * 4 AS aln_end, CASE WHEN l_linenumber % 6 = 0 THEN 9 ELSE 1 END AS flag, CAST((l_suppkey + 1 + l_linenumber % 2) % 3 AS STRING) AS mate_rname FROM lineitem"
@@ -538,7 +540,7 @@ def part_sql(seq: str, start: str, end: str, turn: str) -> str:
  FROM j JOIN c a ON a.contig = chr1 JOIN c b ON b.contig = chr2 WHERE length(a.seq) > CASE WHEN d1 = '+' THEN greatest(p1 - 60, 0) + 1 ELSE p1 END AND length(b.seq) > CASE WHEN d2 = '-' THEN greatest(p2 - 60, 0) + 1 ELSE p2 END""")
 def junction_sequence(spark, d):
     contigs = table(spark, d, CONTIGS, "documents")
-    pieces = contigs.select("contig", F.explode(F.sequence(F.lit(0), F.length("seq") / 64)).alias("k"), "seq").select("contig", (F.col("k") * 64).cast("long").alias("offset"), (F.col("k") * 64 + 64).cast("long").alias("offset_end"), F.expr("substring(seq, CAST(k * 64 + 1 AS INT), 64)").alias("seq")).where("seq <> ''")
+    pieces = contigs.select("contig", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.length("seq") / 64))).alias("k"), "seq").select("contig", (F.col("k") * 64).cast("long").alias("offset"), (F.col("k") * 64 + 64).cast("long").alias("offset_end"), F.expr("substring(seq, CAST(k * 64 + 1 AS INT), 64)").alias("seq")).where("seq <> ''")
     pieces = pieces.withColumn("offset_end", F.col("offset") + F.length("seq"))
     return integrate.junction_sequences(table(spark, d, JUNCTIONS, "documents"), pieces, 60)
 
