@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Text bytes that a Python worker works on at once.
 SLICE_BYTES = 4 << 20
+#: Edges that one task connects; beyond it, rounds of joins do.
+LOCAL_EDGES = 1 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -100,13 +102,40 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.cumsum(out, out=out)
 
 
+def connected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, component) of all edges of one task: smallest labels travel along edges, and labels point on to their own labels."""
+    parts = [np.stack([b.column("a").to_numpy(), b.column("b").to_numpy()]) for b in batches if b.num_rows]
+    if not parts:
+        return
+    nodes, at = np.unique(np.concatenate(parts, axis=1), return_inverse=True)
+    a, b = at.reshape(2, -1)
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        for end in (a, b):
+            np.minimum.at(new, end, low)
+            np.minimum.at(new, label[end], low)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[label])], ["node", "component"])
+
+
 def components(edges: DataFrame, name: str = "components", rounds: int = 60) -> DataFrame:
     """(node, component) for every node of the edges (a, b): the smallest node that it can reach.
 
-    Alternating large-star and small-star rounds; each state is staged in the shared folder. A hub's edges are never gathered: a
+    Up to LOCAL_EDGES edges, some 16 bytes each, are connected in one task; more, by alternating large-star and small-star rounds whose states are staged in
+    the shared folder. A hub's edges are never gathered: a
     node's smallest neighbour comes from an aggregate with map-side combine and joins back. Null or equal ends are ignored."""
     now = edges.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
     now = staged(now.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
+    if now.count() <= LOCAL_EDGES:
+        out = staged(now.coalesce(1).mapInArrow(connected, "node long, component long"), name)
+        drop_staged(now)
+        return out
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         lowest = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from svloom.llm import bpe, knn, near_dedup, packing, quality, substring_dedup, url_filter, warc
+from svloom.llm import bpe, common, knn, near_dedup, packing, quality, substring_dedup, url_filter, warc
 
 DATA = "/root/testdata/sf0.001"
 COMMON = " ".join(f"w{i}" for i in range(60))
@@ -98,6 +98,8 @@ def test_near_dedup_large_cluster(spark, monkeypatch):
             w[rng.randrange(len(w))] = f"n{rng.random()}"
         out.append((i, " ".join(w)))
     monkeypatch.setattr(near_dedup, "BLOCK_MEMBERS", 7)
+    monkeypatch.setattr(near_dedup, "BUCKET", 8)
+    monkeypatch.setattr(common, "LOCAL_EDGES", 0)
     got = near_dedup.classes_of(spark.createDataFrame(out, "doc_id long, text string"))
     assert Counter(map(tuple, got.collect())) == brute_components(out, 4, 80)
 
