@@ -44,9 +44,11 @@ def records(spark: SparkSession, path: str | list[str]) -> DataFrame:
     for p in files:
         rows = spark.read.text(p).where("value NOT LIKE '#%' AND value <> ''").select(F.monotonically_increasing_id().alias("rec_idx"), F.lit(sample_of(header(spark, p), p)).alias("sample"), F.split("value", "\t").alias("f"), F.col("value").alias("line"))
         out = rows if out is None else out.unionByName(rows)
-    dot = lambda i: F.when(F.col("f")[i] != ".", F.col("f")[i])
-    entries = F.transform(F.filter(F.split(F.col("f")[7], ";"), lambda x: ~x.isin("", ".")), lambda x: F.struct(F.split(x, "=", 2)[0].alias("key"), F.coalesce(F.get(F.split(x, "=", 2), F.lit(1)), F.lit("")).alias("value")))
-    return out.select("rec_idx", "sample", F.col("f")[0].alias("chrom"), (F.col("f")[1].cast("long") - 1).alias("pos"), dot(2).alias("id"), F.col("f")[3].alias("ref"), F.split(F.col("f")[4], ",").alias("alt"), dot(5).cast("double").alias("qual"), dot(6).alias("filter"), F.map_from_entries(entries).alias("info"), "line")
+    # header lines may reach these expressions before they are filtered out, so nothing here fails on short or odd lines
+    f = lambda i: F.get("f", F.lit(i))
+    dot = lambda i: F.when(f(i) != ".", f(i))
+    entries = F.transform(F.filter(F.split(f(7), ";"), lambda x: ~x.isin("", ".")), lambda x: F.struct(F.split(x, "=", 2)[0].alias("key"), F.coalesce(F.get(F.split(x, "=", 2), F.lit(1)), F.lit("")).alias("value")))
+    return out.select("rec_idx", "sample", f(0).alias("chrom"), (f(1).try_cast("long") - 1).alias("pos"), dot(2).alias("id"), f(3).alias("ref"), F.split(f(4), ",").alias("alt"), dot(5).try_cast("double").alias("qual"), dot(6).alias("filter"), F.map_from_entries(entries).alias("info"), "line")
 
 
 def cipos(info) -> F.Column:
