@@ -25,10 +25,11 @@ STRETCH = 32 << 20
 
 def sam(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.text(path).where("value NOT LIKE '@%' AND value <> ''").select(F.monotonically_increasing_id().alias("rec_idx"), F.split("value", "\t").alias("f"))
-    f = F.col("f")
-    tag = lambda t: F.regexp_extract(F.element_at(F.filter(f, lambda x: x.startswith(t)), 1), r"^..:.:(.*)$", 1)
+    # header lines may reach these expressions before they are filtered out, so nothing here fails on short or odd lines
+    f, tags_ = (lambda i: F.get("f", F.lit(i))), F.col("f")
+    tag = lambda t: F.regexp_extract(F.get(F.filter(tags_, lambda x: x.startswith(t)), F.lit(0)), r"^..:.:(.*)$", 1)
     star = lambda c: F.when(c != "*", c)
-    return rows.select("rec_idx", f[0].alias("qname"), f[1].cast("int").alias("flag"), star(f[2]).alias("rname"), (f[3].cast("long") - 1).alias("pos"), f[4].cast("int").alias("mapq"), f[5].alias("cigar"), star(F.when(f[6] == "=", f[2]).otherwise(f[6])).alias("mate_rname"), (f[7].cast("long") - 1).alias("mate_pos"), F.when(F.exists(f, lambda x: x.startswith("SA:Z:")), tag("SA:Z:")).alias("sa"), F.when(F.exists(f, lambda x: x.startswith("NM:i:")), tag("NM:i:").cast("long")).alias("nm"))
+    return rows.select("rec_idx", f(0).alias("qname"), f(1).try_cast("int").alias("flag"), star(f(2)).alias("rname"), (f(3).try_cast("long") - 1).alias("pos"), f(4).try_cast("int").alias("mapq"), f(5).alias("cigar"), star(F.when(f(6) == "=", f(2)).otherwise(f(6))).alias("mate_rname"), (f(7).try_cast("long") - 1).alias("mate_pos"), F.when(F.exists(tags_, lambda x: x.startswith("SA:Z:")), tag("SA:Z:")).alias("sa"), F.when(F.exists(tags_, lambda x: x.startswith("NM:i:")), tag("NM:i:").try_cast("long")).alias("nm"))
 
 
 def with_ends(alignments: DataFrame) -> DataFrame:
@@ -207,7 +208,7 @@ class BamReader(DataSourceReader):
         rows, n = [], 0
         while True:
             # a record belongs to the stretch in which the block of its first byte begins
-            if blocks.pos == len(blocks.data) and not blocks.more():
+            if not blocks.need(1):
                 break
             if blocks.block_at >= end and self.begins_in(blocks, end):
                 break

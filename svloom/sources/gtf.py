@@ -10,7 +10,7 @@ from ..operators.annotate import gene_name
 
 def attributes(text) -> F.Column:
     """key "value"; or key=value; pairs as a map; the last of a repeated key counts."""
-    parts = F.filter(F.transform(F.split(text, ";"), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(text, ";"), lambda x: F.trim(x)), lambda x: x != "")
     pairs = F.transform(parts, lambda x: F.struct(F.regexp_extract(x, r"^([^\s=]+)", 1).alias("key"), F.regexp_replace(F.regexp_extract(x, r"^[^\s=]+[\s=]+(.*)$", 1), '"', "").alias("value")))
     last = F.filter(pairs, lambda x, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda y: y["key"] == x["key"]))
     return F.map_from_entries(last)

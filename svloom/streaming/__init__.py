@@ -1,0 +1 @@
+"""No operator of this engine is a streaming one: its inputs are whole files."""

@@ -97,3 +97,14 @@ def test_sam_paired(spark, tmp_path):
     calls = programs.paired_calls(spark, put(tmp_path, "p.sam", "\n".join(lines) + "\n"), similarity=0.95)
     row = calls.collect()
     assert len(row) == 1 and row[0]["support_sr"] == 1 and {row[0]["a_chrom"], row[0]["b_chrom"]} == {"A:0-530", "A:531"}
+
+
+def test_command_line(spark, tmp_path):
+    from svloom.cli import run
+
+    path, contigs = put(tmp_path, "s.vcf", VCF), put(tmp_path, "contigs", "2\t500000\n13\t500000\n")
+    run(spark, ["cluster", "-v", path, "-c", contigs, "-o", str(tmp_path / "out")])
+    lines = sorted(r["value"] for r in spark.read.text(str(tmp_path / "out")).collect())
+    assert lines == ["13\t123465\t123466\t2\t321691\t321692\ts:bnd2.2;\t1\t+\t-\tBND_PAIR", "13\t199\t200\t.\t-1\t-1\ts:del1;\t1\t.\t.\tDEL"]
+    run(spark, ["correct", "-i", path, "-o", str(tmp_path / "fixed")])
+    assert spark.read.text(str(tmp_path / "fixed")).where("value LIKE '##command%'").count() == 1
