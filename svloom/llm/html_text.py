@@ -270,7 +270,7 @@ def generated(rng: random.Random) -> list[tuple[tuple[str, ...], str, float, boo
 
 
 @lru_cache(1)
-def trained(pages: int = 400, epochs: int = 7, seed: int = 3) -> Labeller:
+def trained(pages: int = 640, epochs: int = 12, seed: int = 3) -> Labeller:
     """The labeller, from ``pages`` generated pages; the same for the same arguments."""
     rng = random.Random(seed)
     made = [generated(rng) for _ in range(pages)]
