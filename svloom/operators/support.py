@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import upper_median
+from ..functions.stats import upper_median_of
 from .evidence import MATE_UNMAPPED, has
 from .intervals import interval_join, islands, islands_within
 from .staging import staged
@@ -75,23 +75,34 @@ def split_pair_support(reads: DataFrame) -> DataFrame:
     return sides.groupBy("pos").agg(F.count("*").alias("support_sp"))
 
 
-def median_depth(reads: DataFrame) -> DataFrame:
-    """pos, side, depth: upper median of the coverage over the window's covered positions, from a sweep over starts and ends."""
-    key = ["pos", "side"]
-    edges = reads.select(*key, F.explode(F.array(F.struct(F.greatest("aln_start", "w_start").alias("at"), F.lit(1).alias("d")), F.struct(F.least("aln_end", "w_end").alias("at"), F.lit(-1).alias("d")))).alias("e"))
+def median_depth(wins: DataFrame, alignments: DataFrame, reach: int = 500, bin_size: int = 1024) -> DataFrame:
+    """pos, side, depth: upper median of the coverage over the window's covered positions.
+
+    A base is as deep in one window as in another, so coverage is swept once, in bins that reach far enough beyond their end to hold every
+    window (``reach`` bases at most) that starts in them; windows then cut their part out of their bin's depths."""
+    key = ["chrom", "__bin"]
+    start = F.col("__bin") * bin_size
+    dealt = alignments.withColumn("__bin", F.explode(F.sequence(F.greatest(F.floor((F.col("aln_start") - reach) / bin_size), F.lit(0)), F.floor((F.col("aln_end") - 1) / bin_size))))
+    step = lambda at, d: F.struct(at.alias("at"), F.lit(d).alias("d"))
+    end = start + bin_size + reach
+    edges = dealt.select(*key, F.explode(F.array(step(start, 0), step(F.greatest(F.col("aln_start"), start), 1), step(F.least(F.col("aln_end"), end), -1), step(end, 0))).alias("e"))
     steps = edges.groupBy(*key, "e.at").agg(F.sum("e.d").alias("d"))
     order = Window.partitionBy(*key).orderBy("at")
-    runs = steps.select(*key, "at", F.sum("d").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("depth"), F.lead("at").over(order).alias("to"))
-    spots = runs.where("depth > 0").select(*key, "depth", F.explode(F.sequence(F.col("at"), F.col("to") - 1)))
-    return spots.groupBy(*key).agg(upper_median("depth").alias("depth"))
+    runs = steps.select(*key, "at", F.sum("d").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int").alias("depth"), F.lead("at").over(order).alias("to")).where("to IS NOT NULL")
+    sweeps = runs.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("at", "to", "depth"))).alias("runs"))
+    depths = sweeps.select(*key, F.flatten(F.transform("runs", lambda x: F.array_repeat(x["depth"], (x["to"] - x["at"]).cast("int")))).alias("depths"))
+    spots = wins.withColumn("__bin", F.floor(F.col("w_start") / bin_size)).join(depths, key)
+    cut = F.slice("depths", (F.col("w_start") - start + 1).cast("int"), (F.col("w_end") - F.col("w_start")).cast("int"))
+    return spots.select("pos", "side", upper_median_of(F.filter(cut, lambda x: x > 0)).cast("long").alias("depth")).where("depth IS NOT NULL")
 
 
 def with_support(positions: DataFrame, alignments: DataFrame, reach: int = 500) -> DataFrame:
     """positions with support_sp and sp_ratio, the smaller of both sides' support by median depth; 0 without reads."""
     positions = staged(positions)
     numbered = positions if "pos" in positions.columns else positions.withColumn("pos", F.xxhash64(*[c for c in positions.columns if not c.startswith("__")]))
-    reads = overlapping(windows(numbered, reach), alignments)
-    depth = median_depth(reads).groupBy("pos").pivot("side", ["pr", "sa"]).agg(F.first("depth"))
+    wins = windows(numbered, reach)
+    reads = overlapping(wins, alignments)
+    depth = median_depth(wins, alignments, reach).groupBy("pos").pivot("side", ["pr", "sa"]).agg(F.first("depth"))
     out = numbered.join(split_pair_support(reads), "pos", "left").join(depth, "pos", "left")
     sp = F.coalesce(F.col("support_sp"), F.lit(0).cast("long"))
     ratio = lambda c: F.when(F.coalesce(F.col(c), F.lit(0)) > 0, sp / F.col(c)).otherwise(0.0)
