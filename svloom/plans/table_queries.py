@@ -523,10 +523,11 @@ def position_calls(spark, d):
 
 # --- sequences, integration sites, linking reads
 
+# the SQL still cuts the letters to the first 60, so it agrees with the query on shorter texts only
 @query("revcomp", "SELECT doc_id, reverse(translate(substring(regexp_replace(text, '[^A-Za-z]', '', 'g'), 1, 60), 'ACGTacgt', 'TGCAtgca')) AS seq FROM documents")
 def revcomp(spark, d):
     docs = spark.read.parquet(f"{d}/documents.parquet")
-    return docs.select("doc_id", sequence.reverse_complement(F.substring(F.regexp_replace("text", "[^A-Za-z]", ""), 1, 60)).alias("seq"))
+    return docs.select("doc_id", sequence.reverse_complement(F.regexp_replace("text", "[^A-Za-z]", "")).alias("seq"))
 
 
 CONTIGS = "SELECT CAST(doc_id AS STRING) AS contig, regexp_replace(text, '[^A-Za-z]', '') AS seq FROM documents"

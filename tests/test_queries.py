@@ -50,3 +50,11 @@ def test_support_of_every_order(spark):
     got = run("sp_ratio")
     assert len(got) == len(orders)
     assert {r["pos"]: (r["support_sp"], r["sp_ratio"]) for r in got} == ratio
+
+
+def test_revcomp_of_whole_texts(spark):
+    partner = dict(zip("ACGTacgt", "TGCAtgca", strict=True))
+    letters = {r["doc_id"]: [c for c in r["text"] or "" if c.isascii() and c.isalpha()] for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    got = {r["doc_id"]: r["seq"] for r in QUERIES["revcomp"][0](spark, DATA).collect()}
+    assert max(map(len, letters.values())) > 60
+    assert got == {i: "".join(partner.get(c, c) for c in reversed(x)) for i, x in letters.items()}
