@@ -21,6 +21,8 @@ OPS = "MIDNSHP=X"
 SIZES = {"A": 1, "c": 1, "C": 1, "s": 2, "S": 2, "i": 4, "I": 4, "f": 4}
 NUMBERS = {"c": "<b", "C": "<B", "s": "<h", "S": "<H", "i": "<i", "I": "<I"}
 STRETCH = 32 << 20
+#: A record has fewer bytes.
+LONGEST = 1 << 28
 
 
 def sam(spark: SparkSession, path: str) -> DataFrame:
@@ -151,7 +153,7 @@ def plausible(data: bytes, at: int, refs: int) -> int | None:
         return None
     n, ref, pos, n_name, _, _, n_cigar, _, n_seq, mate, mate_pos, _ = struct.unpack_from("<iiiBBHHHiiii", data, at)
     rest = 32 + n_name + 4 * n_cigar + (n_seq + 1) // 2 + n_seq
-    fine = -1 <= ref < refs and -1 <= mate < refs and pos >= -1 and mate_pos >= -1 and n_name > 1 and n_seq >= 0 and rest <= n < 1 << 28
+    fine = -1 <= ref < refs and -1 <= mate < refs and pos >= -1 and mate_pos >= -1 and n_name > 1 and n_seq >= 0 and rest <= n < LONGEST
     if not fine or at + 36 + n_name > len(data) or data[at + 35 + n_name] != 0 or not data[at + 36 : at + 35 + n_name].isascii():
         return None
     return at + 4 + n
@@ -182,18 +184,29 @@ class BamReader(DataSourceReader):
         return None
 
     def in_block(self, file, at: int, refs: int) -> Blocks | None:
-        blocks = Blocks(file, at)
-        blocks.need(1 << 18)
-        data = blocks.data
-        for k in range(len(data)):
+        """Unpacks until three records are found, however long they are, or the file ends; None if no record begins in the rest of the file."""
+        blocks, data = Blocks(file, at), bytearray()
+
+        def has(n: int) -> bool:
+            while len(data) < n and blocks.more():
+                data.extend(blocks.data)
+                blocks.pos = len(blocks.data)
+            return len(data) >= n
+
+        k = 0
+        while has(k + 1):
             here, good = k, 0
-            while good < 3 and here < len(data) and (after := plausible(data, here, refs)):
+            # 300 bytes hold a record's fixed part and its name
+            while good < 3 and (has(here + 300) or here < len(data)) and (after := plausible(data, here, refs)):
                 here, good = after, good + 1
             if good == 3 or good and here == len(data):
                 blocks = Blocks(file, at)
                 blocks.need(k)
                 blocks.take(k)
                 return blocks
+            k += 1
+            if k == LONGEST:
+                raise ValueError(f"no record begins in {LONGEST} bytes from the block at {at}")
         return None
 
     def read(self, partition) -> Iterator[pa.RecordBatch]:

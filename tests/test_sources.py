@@ -1,6 +1,7 @@
 """Readers on small files written here."""
 
 import gzip
+import random
 import struct
 import zlib
 
@@ -92,6 +93,21 @@ def test_bam(spark, tmp_path):
     assert alignments.bam_contigs(str(path)) == {"chr1": 1000, "chr2": 1000}
 
 
+def test_bam_long_records(spark, tmp_path):
+    """Records of over 200 KB, cut anywhere: no stretch may lose those that begin in it."""
+    rng, bases = random.Random(1), 150_000
+    data = b"BAM\x01" + struct.pack("<i", 0) + struct.pack("<i", 1) + struct.pack("<i", 5) + b"chr1\0" + struct.pack("<i", 1 << 20)
+    for i in range(12):
+        name = f"long{i}".encode() + b"\0"
+        body = struct.pack("<iiBBHHHiiii", 0, i, len(name), 60, 0, 1, 0, bases, -1, -1, 0) + name + struct.pack("<I", bases << 4) + rng.randbytes(bases // 2) + rng.randbytes(bases)
+        data += struct.pack("<i", len(body)) + body
+    path = tmp_path / "long.bam"
+    path.write_bytes(b"".join(block(data[a : a + 60000]) for a in range(0, len(data), 60000)) + block(b""))
+    for stretch in (1 << 30, 500_000, 100_000):
+        rows = alignments.bam(spark, str(path), stretch=stretch).collect()
+        assert sorted(int(r["qname"][4:]) for r in rows) == list(range(12))
+
+
 def test_sam_paired(spark, tmp_path):
     lines = ["@SQ\tSN:A:0-530\tLN:530", "read\t17\tA:0-530\t475\t60\t56M94H\t*\t0\t0\t*\t*\tNM:i:0\tSA:Z:A:531,5,-,60S90M,60,0;", "read\t17\tA:531\t5\t60\t60S90M\t*\t0\t0\t*\t*\tNM:i:0\tSA:Z:A:0-530,475,-,56M94S,60,0;"]
     calls = programs.paired_calls(spark, put(tmp_path, "p.sam", "\n".join(lines) + "\n"), similarity=0.95)
