@@ -2,7 +2,8 @@
 
 The raw model counts the n-grams (pairs of words, triples of bytes) of all documents; the target model those of labelled good ones, out
 of at most SAMPLE labelled rows, taken by the hash of doc_id. A text's log weight is the sum of its n-grams' log ratios per word. The same
-labelled rows place the limit between good and bad: weights are measured from it, in units of the distance between the two.
+labelled rows place the limit between good and bad: weights are measured from it, in units of the distance between the two. For that, each
+good one is weighed without its own counts in the target model, as if it had no label.
 
 Gumbel top-k: key = SHARPNESS * weight + Gumbel noise from the doc_id's hash; the k largest keys are kept. k defaults to the number of
 texts above the limit. The k-th key is found by counting keys in ever finer ranges, without a global sort.
@@ -86,6 +87,22 @@ def weighed(texts: list[bytes], ratio: np.ndarray) -> np.ndarray:
     return np.where(n > 0, total / np.maximum(n, 1), EMPTY)
 
 
+def held_out(text: bytes, target: np.ndarray, raw: np.ndarray) -> float:
+    """The weight of a text that the target model counted, by a target model without it."""
+    bucket, _, n = grams([text])
+    if not n[0]:
+        return EMPTY
+    used, times = np.unique(bucket, return_counts=True)
+    total = 0.0
+    for k, (t, r) in enumerate(zip(np.split(target, 2), np.split(raw, 2), strict=True)):
+        mine = used // len(r) == k
+        at, own = used[mine] % len(r), times[mine]
+        p = (r[at] + 1) / (r.sum() + len(r))
+        weight = len(r) / 4
+        total += float(own @ (np.log((t[at] - own + weight * p) / (t.sum() - own.sum() + weight)) - np.log(p)))
+    return total / float(n[0])
+
+
 def fitted(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float, float]:
     """(log ratios, limit, unit)."""
     rows = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).dropDuplicates(["doc_id"])
@@ -100,7 +117,12 @@ def fitted(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tup
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                yield pa.RecordBatch.from_arrays([pa.array(weighed(encoded(part.column("text")), ratio)), part.column("quality")], ["w", "quality"])
+                texts = encoded(part.column("text"))
+                w = weighed(texts, ratio)
+                for i, good in enumerate(part.column("quality").to_pylist()):
+                    if good == 1:
+                        w[i] = held_out(texts[i], target, raw)
+                yield pa.RecordBatch.from_arrays([pa.array(w), part.column("quality")], ["w", "quality"])
 
     got = some.mapInArrow(weigh, "w double, quality int").toPandas().sort_values("w", kind="stable")  # at most ``sample`` rows
     good, w = (got["quality"] == 1).to_numpy(), got["w"].to_numpy()

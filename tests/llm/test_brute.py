@@ -228,3 +228,18 @@ def test_quality(spark):
     odd = spark.createDataFrame([(1, None), (2, ""), (None, "a b")], "doc_id long, text string")
     assert quality.sampled(odd, labels).count() == 3
     assert quality.sampled(odd.limit(0), labels).count() == 0
+
+
+def test_quality_of_held_out_labels(spark):
+    """Good documents without a label stay too, in every language."""
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    held = {r["doc_id"]: r["quality"] for r in labels.where("doc_id % 3 = 0").collect()}
+    by = defaultdict(list)
+    for r in quality.sampled(documents, labels.where("doc_id % 3 <> 0")).select("doc_id", "lang", "kept").collect():
+        if held.get(r["doc_id"]) is not None:
+            by[held[r["doc_id"]], r["lang"]].append(r["kept"])
+    good = {lang: (sum(v), len(v)) for (q, lang), v in by.items() if q == 1}
+    assert len(good) == 4 and all(kept >= 0.9 * n for kept, n in good.values()), good
+    bad = [kept for (q, _), v in by.items() if q == 0 for kept in v]
+    assert sum(bad) <= 0.2 * len(bad)
