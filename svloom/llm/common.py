@@ -14,14 +14,17 @@ from pyspark.sql import functions as F
 
 #: Text bytes that a Python worker works on at once.
 SLICE_BYTES = 4 << 20
-#: Edges that one task connects; beyond it, rounds of joins do.
-LOCAL_EDGES = 1 << 20
+#: Edges that a Python worker connects at once.
+SLICE_EDGES = 1 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
+    """The folder that driver and executors share. Where the session names none, a temporary one serves a local master, whose executors are
+    this machine; any other master is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="svloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -103,54 +106,62 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def connected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, component) of all edges of one task: smallest labels travel along edges, and labels point on to their own labels."""
-    parts = [np.stack([b.column("a").to_numpy(), b.column("b").to_numpy()]) for b in batches if b.num_rows]
-    if not parts:
-        return
-    nodes, at = np.unique(np.concatenate(parts, axis=1), return_inverse=True)
-    a, b = at.reshape(2, -1)
-    label = np.arange(len(nodes))
-    while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        for end in (a, b):
-            np.minimum.at(new, end, low)
-            np.minimum.at(new, label[end], low)
-        while (new[new] != new).any():
-            new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[label])], ["node", "component"])
+    """The edges (a, b) of some batches as stars (a larger, b the smallest node that a reaches by them): smallest labels travel along edges,
+    and labels point on to their own labels. Each SLICE_EDGES edges are one graph, so a task's memory has a bound."""
+    parts, n = [], 0
+
+    def stars() -> pa.RecordBatch:
+        nodes, at = np.unique(np.concatenate(parts, axis=1), return_inverse=True)
+        a, b = at.reshape(2, -1)
+        label = np.arange(len(nodes))
+        while True:
+            low = np.minimum(label[a], label[b])
+            new = label.copy()
+            for end in (a, b):
+                np.minimum.at(new, end, low)
+                np.minimum.at(new, label[end], low)
+            while (new[new] != new).any():
+                new = new[new]
+            if (new == label).all():
+                break
+            label = new
+        moved = np.flatnonzero(label != np.arange(len(nodes)))
+        return pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[label[moved]])], ["a", "b"])
+
+    for batch in batches:
+        if batch.num_rows:
+            parts.append(np.stack([batch.column("a").to_numpy(), batch.column("b").to_numpy()]))
+            n += batch.num_rows
+        if n >= SLICE_EDGES:
+            yield stars()
+            parts, n = [], 0
+    if parts:
+        yield stars()
 
 
 def components(edges: DataFrame, name: str = "components", rounds: int = 60) -> DataFrame:
-    """(node, component) for every node of the edges (a, b): the smallest node that it can reach.
-
-    Up to LOCAL_EDGES edges, some 16 bytes each, are connected in one task; more, by alternating large-star and small-star rounds whose states are staged in
-    the shared folder. A hub's edges are never gathered: a
-    node's smallest neighbour comes from an aggregate with map-side combine and joins back. Null or equal ends are ignored."""
-    now = edges.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
-    now = staged(now.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
-    if now.count() <= LOCAL_EDGES:
-        out = staged(now.coalesce(1).mapInArrow(connected, "node long, component long"), name)
-        drop_staged(now)
-        return out
+    """(node, component) for every node of the edges (a, b): the smallest node that it can reach. Null or equal ends are ignored.
+
+    Every task first turns its own edges into stars. Then alternating large-star and small-star rounds run, whose states are staged in the
+    shared folder, until all edges together are stars. A hub's edges are never gathered: a node's smallest neighbour comes from an aggregate
+    with map-side combine and joins back."""
+    now = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
+    now = staged(now.mapInArrow(connected, "a long, b long"), name)
     for _ in range(rounds):
+        # done when every node either has one edge, to a smaller node, or only edges from larger ones
+        degrees = now.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("out")), F.struct(F.col("b").alias("node"), F.lit(0).alias("out")))).alias("e")).select("e.*")
+        degrees = degrees.groupBy("node").agg(F.sum("out").alias("out"), F.count("*").alias("n"))
+        if not degrees.where("out > 1 OR out = 1 AND n > 1").limit(1).count():
+            break
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         lowest = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.where("b > a").join(lowest, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         # now all edges run from a node to a smaller one; small star over a and its smaller neighbours
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
-        after = staged(small, name)
-        # a star forest: every node has one edge, to a node that has none of its own
-        ends = after.groupBy("a").agg(F.count("*").alias("n"))
-        open_ends = ends.where("n > 1").limit(1).count() or after.join(ends.select(F.col("a").alias("b")), "b", "left_semi").limit(1).count()
+        small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b")
+        after = staged(small.distinct(), name)
         drop_staged(now)
         now = after
-        if not open_ends:
-            break
     else:
         raise RuntimeError("components did not settle")
     out = now.select(F.col("a").alias("node"), F.col("b").alias("component"))

@@ -78,30 +78,88 @@ def brute_components(rows, size, limit):
     return Counter((d, len(sets[i]), best.get(root(i)) if d is not None else None) for i, (d, _) in enumerate(rows))
 
 
+def near_rows(df, size=4, limit=80):
+    return Counter(map(tuple, near_dedup.classes_of(df, size, limit).collect()))
+
+
 def test_near_dedup(documents, rows, monkeypatch):
     expected = brute_components(rows, 4, 80)
-    assert Counter(map(tuple, near_dedup.classes_of(documents).collect())) == expected
-    # blocks of a few members, so that clusters have several
-    monkeypatch.setattr(near_dedup, "BLOCK_MEMBERS", 2)
-    assert Counter(map(tuple, near_dedup.classes_of(documents).collect())) == expected
+    assert near_rows(documents) == expected
+    # blocks of a few members, so that bands and clusters have several; no broadcast
+    for name, value in (("BLOCK_MEMBERS", 2), ("BAND_BLOCK", 2), ("REST_MEMBERS", 2), ("BROADCAST_MEMBERS", 0)):
+        monkeypatch.setattr(near_dedup, name, value)
+    assert near_rows(documents) == expected
+    assert near_rows(documents.limit(0)) == Counter()
 
 
-def test_near_dedup_large_cluster(spark, monkeypatch):
+def test_near_dedup_of_an_id_with_several_texts(spark):
+    base, other = (" ".join(f"{k}{i}" for i in range(60)) for k in "bo")
+    out = [(5, base), (5, other), (7, other + " word"), (9, base + " word"), (11, base), (12, None), (None, base)]
+    got = near_rows(spark.createDataFrame(out, "doc_id long, text string"))
+    assert got == brute_components([(i, t or "") for i, t in out], 4, 80)
+
+
+def varied(n, seed, changes):
+    """Copies of one text with some words changed: every copy a different set, in one large group of bands."""
     import random
 
-    rng = random.Random(1)
+    rng = random.Random(seed)
     base = [f"t{i}" for i in range(120)]
     out = []
-    for i in range(60):
+    for i in range(n):
         w = list(base)
-        for _ in range(rng.randint(0, 6)):
+        for _ in range(rng.randint(0, changes)):
             w[rng.randrange(len(w))] = f"n{rng.random()}"
         out.append((i, " ".join(w)))
-    monkeypatch.setattr(near_dedup, "BLOCK_MEMBERS", 7)
-    monkeypatch.setattr(near_dedup, "BUCKET", 8)
-    monkeypatch.setattr(common, "LOCAL_EDGES", 0)
-    got = near_dedup.classes_of(spark.createDataFrame(out, "doc_id long, text string"))
-    assert Counter(map(tuple, got.collect())) == brute_components(out, 4, 80)
+    return out
+
+
+def test_near_dedup_large_cluster(spark, monkeypatch):
+    for name, value in (("BLOCK_MEMBERS", 7), ("BAND_BLOCK", 8), ("REST_MEMBERS", 9), ("SALTS", 3)):
+        monkeypatch.setattr(near_dedup, name, value)
+    monkeypatch.setattr(common, "SLICE_EDGES", 5)
+    for changes in (6, 12):  # with more changes, many are alone or in small components of one cluster
+        out = varied(60, 1, changes)
+        assert near_rows(spark.createDataFrame(out, "doc_id long, text string")) == brute_components(out, 4, 80)
+
+
+def test_components(spark, monkeypatch):
+    import random
+
+    rng = random.Random(4)
+    edges = [(i, i + 1) for i in range(100, 160)] + [(0, k) for k in range(1, 60)] + [(rng.randrange(200, 400), rng.randrange(200, 400)) for _ in range(150)] + [(5, 5), (None, 3)]
+    parent = list(range(400))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a is not None:
+            x, y = sorted((root(a), root(b)))
+            parent[y] = x
+    nodes = {x for a, b in edges if a is not None and a != b for x in (a, b)}
+    df = spark.createDataFrame(edges, "a long, b long").repartition(4)
+    for size in (3, 1 << 20):
+        monkeypatch.setattr(common, "SLICE_EDGES", size)
+        assert Counter(map(tuple, common.components(df).collect())) == Counter((n, root(n)) for n in nodes)
+    assert common.components(df.limit(0)).count() == 0
+
+
+def test_sketches_estimate_similarity():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for shared in (0.0, 0.5, 0.8):
+        n = 4000
+        both = int(n * 2 * shared / (1 + shared))
+        pool = rng.integers(0, 1 << 63, 2 * n, dtype=np.uint64)
+        s = near_dedup.sketches(np.concatenate([pool[:n], pool[n - both : 2 * n - both]]), np.array([n, n]))
+        equal = (s[0] == s[1]).mean()
+        assert abs(equal - shared) < 0.16
+        found = near_dedup.near(s[0], n, s[1:], np.array([n]), 80)
+        assert len(found) == (shared == 0.8)
 
 
 def test_bpe(documents, rows):
