@@ -4,14 +4,20 @@ A page is a sequence of leaf blocks: text between block-level tags, with the pat
 vector per block (hashed tag path, hashed words, a few sizes) and labels every block with the whole page as context. It is trained here,
 on generated pages of many layouts whose main text is known.
 
+Pages are labelled together with others of about their length, as many as CELLS padded blocks allow, so a long page does not make short ones
+long; what a page needs by itself is linear in its own length.
+
 Edge cases: null and empty html give an empty text; unclosed and stray tags are tolerated; scripts, styles, comments and other
-markup never are text; very long pages are read whole; repeated rows give repeated results."""
+markup never are text, while what other elements hold (math, object, noscript and so on) is labelled like any block; a tag with a quote that
+is never closed ends at its first ``>``; a script, style or comment that is never closed hides the rest of the page, as in browsers;
+very long pages are read whole; repeated rows give repeated results; an empty table gives no rows; other columns are ignored."""
 
 from __future__ import annotations
 
 import html
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,11 +35,69 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: what an opening tag closes, when it is the innermost block
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CLOSE_P = BLOCKS - {"br", "button", "iframe", "option", "optgroup", "select", "textarea", "video", "audio", "canvas", "link", "meta"}
-TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<(script|style|template|noscript|svg|math|object)\b(?:[^>"']|"[^"]*"|'[^']*')*>.*?(?:</\1\s*>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>""", re.S | re.I)
+START = re.compile(r"<(?:(!--)|(/?)([a-z][^\s/>]*)|[!?/])", re.I)
+#: a tag's attributes up to its end, the first > outside of quotes
+ATTRIBUTES = re.compile(r"""(?:[^>"']|"[^"]*"|'[^']*')*+>""")
+RAW = {"script": re.compile(r"</script\s*>", re.I), "style": re.compile(r"</style\s*>", re.I)}
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
 PATH, WORDS, EXTRA, HIDDEN = 96, 48, 8, 24
 INPUT = PATH + WORDS + EXTRA
+#: Blocks, with padding, that are labelled at once (one page at least); each takes some 2 kB.
+CELLS = 1 << 14
+
+
+class Ends:
+    """Ends of a page's tags. A quote that is never closed makes a search run to the page's end; the first one that does has all ends
+    worked out at once, from the last character that matters to the first, so the time stays linear."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.known: dict[int, int] | None = None
+
+    def after(self, at: int) -> int:
+        """Where the tag that is open at this place ends: after the first > outside of quotes, or else after the first >; 0 without any."""
+        if self.known is None:
+            if m := ATTRIBUTES.match(self.page, at):
+                return m.end()
+            self.places = [m.start() for m in re.finditer("[>\"']", self.page)]
+            self.known, later = {}, {}
+            for i in range(len(self.places) - 1, -1, -1):
+                p = self.places[i]
+                c = self.page[p]
+                if c == ">":
+                    self.known[p] = p + 1
+                else:
+                    close = later.get(c)  # the next quote of this kind, and what follows it
+                    following = self.places[close + 1] if close is not None and close + 1 < len(self.places) else None
+                    self.known[p] = self.known[following] if following is not None else 0
+                    later[c] = i
+        i = bisect_left(self.places, at)
+        return (self.known[self.places[i]] if i < len(self.places) else 0) or self.page.find(">", at) + 1
+
+
+def tokens(page: str) -> Iterator[tuple[int, int, str | None, bool, str]]:
+    """(start, end, name, closing, attributes) of each piece of markup; name None for comments, scripts, styles and declarations."""
+    at, last, ends = 0, page.rfind(">"), Ends(page)
+    while m := START.search(page, at):
+        start, name = m.start(), (m[3] or "").lower()
+        if m[1]:
+            found = page.find("-->", m.end())
+            at = found + 3 if found >= 0 else len(page)
+            yield start, at, None, False, ""
+        elif start > last:
+            return  # nothing that follows has an end
+        elif not name:
+            at = page.find(">", m.end()) + 1
+            yield start, at, None, False, ""
+        else:
+            at = ends.after(m.end())
+            if name in RAW and not m[2]:
+                closed = RAW[name].search(page, at)
+                at = closed.end() if closed else len(page)
+                yield start, at, None, False, ""
+            else:
+                yield start, at, name, bool(m[2]), page[m.end() : at - 1]
 
 
 def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
@@ -53,27 +117,25 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
         linked = total = 0
 
     at, links = 0, 0
-    for m in TOKEN.finditer(page):
-        if m.start() > at:
-            text = html.unescape(page[at : m.start()])
+    for start, end, name, closing, attributes in tokens(page):
+        if start > at:
+            text = html.unescape(page[at:start])
             parts.append(text)
             total += len(text)
             linked += len(text) * (links > 0)
-        at = m.end()
-        name = m[3]
+        at = end
         if name is None:
             continue
-        name = name.lower()
         is_block = name in BLOCKS
         if is_block:
             flush()
-        if m[2]:
+        if closing:
             if name == "a":
                 links = max(0, links - 1)
             if any(n == name for n, _ in stack):
                 while stack.pop()[0] != name:
                     pass
-        elif name not in VOID and not m[4].rstrip().endswith("/"):
+        elif name not in VOID and not attributes.rstrip().endswith("/"):
             if is_block and stack:
                 closes = CLOSES.get(name, ())
                 inner = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in BLOCKS), None)
@@ -81,7 +143,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
                     del stack[inner:]
             if name == "a":
                 links += 1
-            words = " ".join(x for g in NAMES.findall(m[4]) for x in g if x) if "=" in m[4] else ""
+            words = " ".join(x for g in NAMES.findall(attributes) for x in g if x) if "=" in attributes else ""
             stack.append((name, f"{name} {words}".strip().lower() if is_block else ""))
     if at < len(page):
         parts.append(html.unescape(page[at:]))
@@ -279,6 +341,18 @@ def trained(pages: int = 640, epochs: int = 12, seed: int = 3) -> Labeller:
     return model
 
 
+def together(lengths: list[int]) -> Iterator[list[int]]:
+    """Indices of pages with blocks, shortest first, in groups of at most CELLS blocks after padding to the longest."""
+    group: list[int] = []
+    for i in sorted((i for i, n in enumerate(lengths) if n), key=lengths.__getitem__):
+        if group and (len(group) + 1) * lengths[i] > CELLS:
+            yield group
+            group = []
+        group.append(i)
+    if group:
+        yield group
+
+
 def extracted(pages: DataFrame, model: Labeller | None = None) -> DataFrame:
     """page_id, url, text, n_chars."""
     model = model or trained()
@@ -288,9 +362,7 @@ def extracted(pages: DataFrame, model: Labeller | None = None) -> DataFrame:
             for part in slices(batch, "html", 2 << 20):
                 found = [blocks(x or "") for x in part.column("html").to_pylist()]
                 texts = [""] * len(found)
-                order = sorted((i for i, b in enumerate(found) if b), key=lambda i: len(found[i]))
-                for a in range(0, len(order), 128):
-                    which = order[a : a + 128]
+                for which in together([len(b) for b in found]):
                     for i, s in zip(which, model.scores([vectors(found[i]) for i in which]), strict=True):
                         texts[i] = " ".join(t for (_, t, _), y in zip(found[i], s.tolist(), strict=True) if y > 0)
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
