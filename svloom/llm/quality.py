@@ -1,31 +1,39 @@
 """Quality by importance resampling: each text's weight is the ratio of two hashed n-gram models, target over raw; Gumbel top-k samples by it.
 
 The raw model counts the n-grams (pairs of words, triples of bytes) of all documents; the target model those of labelled good ones, out
-of at most SAMPLE labelled rows, taken by the hash of doc_id. A text's log weight is the sum of its n-grams' log ratios per word. The same
-labelled rows place the limit between good and bad: weights are measured from it, in units of the distance between the two. For that, each
-good one is weighed without its own counts in the target model, as if it had no label.
+of at most SAMPLE labelled rows, taken by the hash of doc_id. Both are kept for each stratum by itself (the hash of the language, STRATA at
+most), so that a language which is rarer among the labels than in the corpus is not what is sampled against. The target model is mixed with
+the raw one in equal parts, so an n-gram that no labelled text has costs log 2 and no more. A text's log weight is the sum of its
+n-grams' log ratios.
 
-Gumbel top-k: key = SHARPNESS * weight + Gumbel noise from the doc_id's hash; the k largest keys are kept. k defaults to the number of
-texts above the limit. The k-th key is found by counting keys in ever finer ranges, without a global sort.
+Gumbel top-k: key = log weight + Gumbel noise from the doc_id's hash; the k largest keys are kept. k defaults to the share of good ones
+among the labelled rows, of all documents. The k-th key is found by counting keys in ever finer ranges, without a global sort.
 
-Edge cases: null, empty and blank texts have no n-grams; their weight is far below the limit; equal keys at the k-th place (repeated
-rows) stay together; without any good labels all texts weigh the same and are kept; an empty table gives no rows."""
+Edge cases: null, empty and blank texts have no n-grams; their weight is EMPTY, far below all others; equal keys at the k-th place (repeated
+rows) stay together; a null language is a stratum like any other; a doc_id with different labels counts as unlabelled, one with several
+texts is labelled by its smallest; without any good labels all texts weigh the same and are kept; an empty table gives no rows; columns of
+documents named log_weight, key or kept are replaced."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import encoded, read_table, slices, staged
+from .common import drop_staged, encoded, read_table, slices, staged
 from .substring_dedup import rolling, word_hashes
 
-BITS, SLICES, SAMPLE, SHARPNESS, SEED = 16, 32, 20_000, 40.0, 4
+BITS, SLICES, SAMPLE, STRATA, SEED = 16, 32, 20_000, 16, 4
 SIZE = 2 << BITS  # pairs of words, then triples of bytes
-EMPTY = -1000.0
+EMPTY = -1e9
+#: Tasks whose counts are added up in one group, before the groups' sums are.
+TASKS = 512
+OWN = ("log_weight", "key", "kept")
 
 
 def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -48,108 +56,100 @@ def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate([pairs[inside], triples[whole]]), np.concatenate([owner[: len(pairs)][inside], of[:-2][whole] if len(data) > 2 else of[:0]]), n
 
 
+def with_stratum(documents: DataFrame) -> DataFrame:
+    """documents with ``stratum #``: the language's, 0 where there is no such column."""
+    named = any(c.lower() == "lang" for c in documents.columns)
+    return documents.withColumn("stratum #", F.pmod(F.xxhash64(F.col("lang").cast("string")), F.lit(STRATA)).cast("int") if named else F.lit(0))
+
+
 def counted(documents: DataFrame) -> np.ndarray:
-    """How often each bucket occurs in all texts. Tasks send their counts in slices; what reaches the driver has one size."""
+    """[stratum, bucket]: how often each bucket occurs in all texts of documents(stratum #, text).
+
+    Tasks send their counts in slices, which are added up in two steps, so that no group grows with the number of tasks; what reaches the
+    driver has one size."""
+    schema = "stratum int, slice int, part int, counts binary"
+
+    def packed(totals: dict[int, np.ndarray], part: int) -> pa.RecordBatch:
+        rows = [(s, i, part, x.tobytes()) for s, t in totals.items() for i, x in enumerate(np.split(t, SLICES)) if x.any()]
+        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 4, kinds, strict=True)], ["stratum", "slice", "part", "counts"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SIZE, np.int64)
+        totals: dict[int, np.ndarray] = {}
         for batch in batches:
             for part in slices(batch, "text"):
-                total += np.bincount(grams(encoded(part.column("text")))[0], minlength=SIZE)
-        if total.any():
-            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([x.tobytes() for x in np.split(total, SLICES)], pa.binary())], ["slice", "counts"])
+                bucket, owner, _ = grams(encoded(part.column("text")))
+                of = part.column("stratum #").to_numpy()
+                for s in np.unique(of).tolist():
+                    mine = bucket[of[owner] == s]
+                    totals[s] = totals.get(s, 0) + np.bincount(mine, minlength=SIZE)
+        yield packed(totals, TaskContext.get().partitionId() // TASKS)
 
     def add(key: tuple, t: pa.Table) -> pa.Table:
-        total = np.sum([np.frombuffer(x, np.int64) for x in t.column("counts").to_pylist()], 0)
-        return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["slice", "counts"])
+        total = np.zeros(SIZE // SLICES, np.int64)
+        for x in t.column("counts").to_pylist():
+            total += np.frombuffer(x, np.int64)
+        one = t.slice(0, 1)
+        return pa.table([one.column("stratum"), one.column("slice"), pa.array([0], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["stratum", "slice", "part", "counts"])
 
-    parts = documents.select("text").mapInArrow(count, "slice int, counts binary").groupBy("slice").applyInArrow(add, "slice int, counts binary").collect()
-    out = np.zeros(SIZE, np.int64)
-    for r in parts:
-        out[r["slice"] * (SIZE // SLICES) : (r["slice"] + 1) * (SIZE // SLICES)] = np.frombuffer(r["counts"], np.int64)
-    return out
+    sums = documents.select("stratum #", "text").mapInArrow(count, schema)
+    for keys in (["stratum", "slice", "part"], ["stratum", "slice"]):
+        sums = sums.groupBy(*keys).applyInArrow(add, schema)
+    out = np.zeros((STRATA, SLICES, SIZE // SLICES), np.int64)
+    for r in sums.collect():  # at most STRATA * SLICES rows
+        out[r["stratum"], r["slice"]] = np.frombuffer(r["counts"], np.int64)
+    return out.reshape(STRATA, SIZE)
 
 
 def log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
-    """Log ratio of the models' probabilities, each family of n-grams by itself; both are smoothed by the raw model's shape."""
-    out = []
-    for t, r in zip(np.split(target, 2), np.split(raw, 2), strict=True):
-        p = (r + 1) / (r.sum() + len(r))
-        weight = len(r) / 4
-        out.append(np.log((t + weight * p) / (t.sum() + weight)) - np.log(p))
-    return np.concatenate(out).astype(np.float64)
+    """[stratum, bucket]: log ratio of the models' probabilities, each stratum and family of n-grams by itself. Raw counts are one more than
+    seen; the target's are mixed with as many of the raw model's shape. A stratum without labels has ratio 1."""
+    out = np.zeros(raw.shape)
+    for s in range(len(raw)):
+        for family in np.split(np.arange(SIZE), 2):
+            t, r = target[s, family], raw[s, family] + 1
+            if t.any():
+                p = r / r.sum()
+                out[s, family] = np.log((t / t.sum() + p) / 2) - np.log(p)
+    return out
 
 
-def weighed(texts: list[bytes], ratio: np.ndarray) -> np.ndarray:
-    """Sum of log ratios per word."""
+def weighed(texts: list[bytes], strata: np.ndarray, ratio: np.ndarray) -> np.ndarray:
+    """Log weight of each text: the sum of its n-grams' log ratios in its stratum."""
     bucket, owner, n = grams(texts)
-    total = np.bincount(owner, ratio[bucket], len(texts))
-    return np.where(n > 0, total / np.maximum(n, 1), EMPTY)
-
-
-def held_out(text: bytes, target: np.ndarray, raw: np.ndarray) -> float:
-    """The weight of a text that the target model counted, by a target model without it."""
-    bucket, _, n = grams([text])
-    if not n[0]:
-        return EMPTY
-    used, times = np.unique(bucket, return_counts=True)
-    total = 0.0
-    for k, (t, r) in enumerate(zip(np.split(target, 2), np.split(raw, 2), strict=True)):
-        mine = used // len(r) == k
-        at, own = used[mine] % len(r), times[mine]
-        p = (r[at] + 1) / (r.sum() + len(r))
-        weight = len(r) / 4
-        total += float(own @ (np.log((t[at] - own + weight * p) / (t.sum() - own.sum() + weight)) - np.log(p)))
-    return total / float(n[0])
-
-
-def fitted(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float, float]:
-    """(log ratios, limit, unit)."""
-    rows = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).dropDuplicates(["doc_id"])
-    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    some = staged(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(rows), "doc_id").select("text", "quality"), "labelled")
-    raw = counted(documents)
+    return np.where(n > 0, np.bincount(owner, ratio[strata[owner], bucket], len(texts)), EMPTY)
+
+
+def fitted(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
+    """(log ratios, share of good ones among the labelled rows); the share is 1 without any."""
+    clear = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"), F.max("quality").alias("most")).where("quality = most")
+    rows = clear.select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    texts = with_stratum(documents).select(F.col("doc_id").cast("long").alias("doc_id"), "stratum #", "text")
+    some = texts.join(F.broadcast(rows), "doc_id").groupBy("doc_id", "quality").agg(F.min(F.struct("text", "stratum #")).alias("x"))
+    some = staged(some.select("quality", "x.*"), "labelled")
+    total, good = some.agg(F.count("*"), F.count_if(F.col("quality") == 1)).first()
     target = counted(some.where("quality = 1"))
-    if not target.sum():
-        return np.zeros(SIZE), EMPTY, 1.0
-    ratio = log_ratio(target, raw)
+    drop_staged(some)
+    if not target.any():
+        return np.zeros((STRATA, SIZE)), 1.0
+    return log_ratio(target, counted(with_stratum(documents))), good / total
 
-    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                texts = encoded(part.column("text"))
-                w = weighed(texts, ratio)
-                for i, good in enumerate(part.column("quality").to_pylist()):
-                    if good == 1:
-                        w[i] = held_out(texts[i], target, raw)
-                yield pa.RecordBatch.from_arrays([pa.array(w), part.column("quality")], ["w", "quality"])
-
-    got = some.mapInArrow(weigh, "w double, quality int").toPandas().sort_values("w", kind="stable")  # at most ``sample`` rows
-    good, w = (got["quality"] == 1).to_numpy(), got["w"].to_numpy()
-    if good.all():
-        return ratio, float(w[0]) - 1, 1.0
-    # the limit with the fewest errors, each good text that falls counted ten times as much as the bad ones that stay
-    below_good, below_bad = np.cumsum(good), np.cumsum(~good)
-    cost = 10 * below_good / good.sum() + 1 - below_bad / (~good).sum()
-    best = int(cost.argmin())
-    limit = float(w[best] + (w[best + 1] - w[best]) / 2) if best + 1 < len(w) else float(w[best])
-    return ratio, limit, max(float(np.median(w[good]) - limit), 1e-3)
-
-
-def scored(documents: DataFrame, model: tuple[np.ndarray, float, float], seed: int = SEED) -> DataFrame:
-    """All columns of documents, with log_weight (0 at the limit, about 1 for a usual good text) and key."""
-    ratio, limit, unit = model
+
+def scored(documents: DataFrame, ratio: np.ndarray, seed: int = SEED) -> DataFrame:
+    """All columns of documents, with log_weight and key."""
+    documents = documents.drop(*OWN)
     names = documents.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema) + ", log_weight double"
+    model = documents.sparkSession.sparkContext.broadcast(ratio.astype(np.float32))  # STRATA * SIZE * 4 bytes, whatever the data's size
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                w = (weighed(encoded(part.column("text")), ratio) - limit) / unit
+                w = weighed(encoded(part.column("text")), part.column("stratum #").to_numpy(), model.value)
                 yield pa.RecordBatch.from_arrays([*[part.column(n) for n in names], pa.array(w)], [*names, "log_weight"])
 
     noise = (F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 52)) + 0.5) / F.lit(float(1 << 52))
-    return documents.mapInArrow(score, schema).withColumn("key", F.col("log_weight") * SHARPNESS - F.log(-F.log(noise)))
+    return with_stratum(documents).mapInArrow(score, schema).withColumn("key", F.col("log_weight") - F.log(-F.log(noise)))
 
 
 def kth(keys: DataFrame, k: int) -> float:
@@ -171,14 +171,15 @@ def kth(keys: DataFrame, k: int) -> float:
 
 def sampled(documents: DataFrame, labels: DataFrame, k: int | None = None, texts: bool = True) -> DataFrame:
     """All columns of documents, or doc_id alone, with log_weight, key and kept. With texts, they are weighed a second time rather than staged."""
-    table = scored(documents, fitted(documents, labels))
+    ratio, share = fitted(documents, labels)
+    table = scored(documents, ratio)
     keys = staged(table.select("doc_id", "log_weight", "key"), "keys")
-    total, above = keys.agg(F.count("*"), F.count_if(F.col("log_weight") > 0)).first()
-    k = min(above if k is None else k, total)
+    total = keys.count()
+    k = min(ceil(share * total) if k is None else k, total)
     limit = kth(keys, k) if k else None
     return (table if texts else keys).withColumn("kept", F.col("key") >= F.lit(limit) if k else F.lit(False))
 
 
 def op4_importance_resampling(spark, sf_dir: str) -> DataFrame:
-    documents = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    documents = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return sampled(documents, read_table(spark, sf_dir, "labels"), texts=False).select(F.col("doc_id").cast("long").alias("doc_id"), "log_weight", "kept")
