@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that a Python worker works on at once.
@@ -59,6 +59,12 @@ def drop_staged(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def apart(df: DataFrame, used: list[str]) -> tuple[DataFrame, list[Column]]:
+    """df with all columns but the used ones renamed to names that no operator has, and the columns that give its own back, in order."""
+    names = [next((u for u in used if u.lower() == c.lower()), f"column {i}") for i, c in enumerate(df.columns)]
+    return df.toDF(*names), [F.col(f"`{n}`").alias(c) for n, c in zip(names, df.columns, strict=True)]
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -75,10 +81,11 @@ def byte_lengths(column: pa.Array) -> np.ndarray:
 
 
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Parts of the batch with at most ``most`` bytes in the column, one row at least."""
+    """Parts of the batch with at most ``most`` bytes in the column (or, of a column of numbers, with at most that sum), one row at least."""
     if not batch.num_rows:
         return
-    at = np.cumsum(byte_lengths(batch.column(column)))
+    sizes = batch.column(column)
+    at = np.cumsum(sizes.to_numpy(zero_copy_only=False) if pa.types.is_integer(sizes.type) else byte_lengths(sizes))
     start, done = 0, 0
     while start < batch.num_rows:
         end = max(start + 1, int(np.searchsorted(at, done + most, side="right")))
