@@ -8,7 +8,8 @@
 4. Queries go to the cells that they need, packed; cells are split into blocks of bounded size, whatever their number of vectors.
    Each block is solved locally and the blocks' best k are merged.
 
-The pivots and summaries on the driver are bounded: at most MOST_PIVOTS rows.
+There is a quarter of the square root of the number of vectors in pivots, so pruning keeps pace with the data; pivots and summaries, k + 1
+numbers and a vector each, are on the driver (a thousand million vectors: 8,000 pivots).
 
 Edge cases: vectors that are null, empty or hold null or non-finite components take no part, as queries or as candidates; ids that are
 null take no part; vectors of another length than most (the smallest of the most frequent) take no part either; ties go to the smaller id;
@@ -25,7 +26,9 @@ from pyspark.sql import functions as F
 
 from .common import read_table, staged
 
-MOST_PIVOTS, BLOCK, QUERIES = 256, 8192, 1024
+BLOCK = 8192
+#: Numbers that a task holds at once while it routes queries or finds the nearest pivots.
+CELLS = 1 << 22
 SCALE = 64
 
 
@@ -44,8 +47,10 @@ def matrix(column, size: int) -> np.ndarray:
 
 def nearest(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(cell, distance) of each row; of equally near pivots the first."""
-    d2 = (x * x).sum(1)[:, None] - 2 * x @ pivots.T + (pivots * pivots).sum(1)[None, :]
-    cell = d2.argmin(1)
+    cell = np.empty(len(x), np.int64)
+    square, step = (pivots * pivots).sum(1)[None, :], max(1, CELLS // len(pivots))
+    for a in range(0, len(x), step):
+        cell[a : a + step] = (square - 2 * x[a : a + step] @ pivots.T).argmin(1)
     return cell, np.sqrt(((x - pivots[cell]) ** 2).sum(1))
 
 
@@ -70,7 +75,7 @@ def joined(vectors: DataFrame, is_query, k: int = 20, pivots: int | None = None)
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     size, total = shape["size"], shape["n"]
     rows = staged(rows.where(F.size("v") == size), "vectors")
-    n_pivots = pivots or int(min(MOST_PIVOTS, max(1, total**0.5 / 4)))
+    n_pivots = pivots or max(1, int(total**0.5 / 4))
     chosen = rows.select("v", F.xxhash64("v").alias("h")).distinct().orderBy("h", "v").limit(n_pivots).collect()
     P = np.array([r["v"] for r in chosen], dtype=np.float64)
 
@@ -92,14 +97,16 @@ def joined(vectors: DataFrame, is_query, k: int = 20, pivots: int | None = None)
     number = np.array([c["cell"] for c in cells])
     radius = np.array([c["radius"] for c in cells]) + 1e-6
     blocks = [int(-(-c["n"] // BLOCK)) for c in cells]
+    split = [(c["cell"], b) for c, b in zip(cells, blocks, strict=True) if b > 1]
     close = np.full((len(cells), k + 1), np.inf)
     for i, c in enumerate(cells):
         close[i, : len(c["near"])] = np.array(c["near"]) + 1e-6
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, QUERIES):
-                part = batch.slice(a, QUERIES)
+            step = max(1, CELLS // close.size)
+            for a in range(0, batch.num_rows, step):
+                part = batch.slice(a, step)
                 q = matrix(part.column("v"), size)
                 norm = np.sqrt((q * q).sum(1))[:, None]
                 middle = q @ P[number].T
@@ -138,8 +145,8 @@ def joined(vectors: DataFrame, is_query, k: int = 20, pivots: int | None = None)
             out.append((ids[a + row], owners[flat], s[row, flat].astype(np.int64)))
         return pa.table([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], schema=schema)
 
-    spread = F.create_map(*[F.lit(x) for c, b in zip(cells, blocks, strict=True) for x in (c["cell"], b)])
-    data = data.withColumn("block", F.pmod(F.xxhash64("vec_id"), spread[F.col("cell")]).cast("int")).select("cell", "block", "vec_id", "v")
+    spread = F.broadcast(spark.createDataFrame(split, "cell int, blocks int"))  # cells of several blocks: fewer than pivots
+    data = data.join(spread, "cell", "left").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.coalesce("blocks", F.lit(1))).cast("int")).select("cell", "block", "vec_id", "v")
     routed = rows.where(is_query).mapInArrow(route, "cell int, block int, ids binary, queries binary")
     best = data.groupBy("cell", "block").cogroup(routed.groupBy("cell", "block")).applyInArrow(solve, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
