@@ -21,20 +21,23 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_staged, new_folder, read_table, staged
+from .common import new_folder, read_table, shuffle_partitions, staged
 
 #: Bytes after which a writer begins a new archive; a record is never split.
 ARCHIVE_BYTES = 256 << 20
 #: Ranges closer than GAP_BYTES are read together, up to READ_BYTES at once (one record at least).
 GAP_BYTES, READ_BYTES = 64 << 10, 8 << 20
+#: Bytes of a file that are read in one task, and archive bytes for which there is a partition.
+STRETCH_BYTES, PARTITION_BYTES = 32 << 20, 32 << 20
 INDEX = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, file string, offset long, length long"
 READ = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, stored binary"
 
 
 def filesystem(uri: str):
-    """The Arrow file system of a URI or path, and the path in it."""
+    """The Arrow file system of a URI or path, and the path in it. Hadoop's names of S3 are Arrow's ``s3``."""
     from pyarrow import fs
 
+    uri = re.sub(r"^s3[an]:", "s3:", uri)
     return fs.FileSystem.from_uri(uri) if re.match(r"\w[\w+.-]*:/", uri) else (fs.LocalFileSystem(), uri)
 
 
@@ -121,9 +124,12 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataF
 
 
 def read_records(index: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
-    """The records of the index's rows, read from the archives: rows are dealt by file and stretch of it, sorted, and close ranges read at once."""
-    stretch = F.floor(F.col("offset") / F.lit(READ_BYTES * 4))
-    asked = index.select("file", "offset", "length", stretch.alias("stretch")).repartition("file", "stretch").sortWithinPartitions("file", "offset")
+    """The records of the index's rows, read from the archives: rows are dealt by file and stretch of it, over as
+    many partitions as the records' bytes ask for (the index itself is too small to tell), sorted, and close ranges read at once."""
+    stretch = F.floor(F.col("offset") / F.lit(STRETCH_BYTES))
+    volume = index.agg(F.sum("length")).first()[0] or 0
+    partitions = max(shuffle_partitions(index.sparkSession), -(-volume // PARTITION_BYTES))
+    asked = index.select("file", "offset", "length", stretch.alias("stretch")).repartition(partitions, "file", "stretch").sortWithinPartitions("file", "offset")
     asked = asked.select("file", "offset", "length")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
