@@ -665,7 +665,7 @@ def described(media: DataFrame) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "media", WORK_BYTES):
+            for part in slices(batch, "n_bytes", WORK_BYTES):  # what is decoded, not what is stored
                 rows = []
                 files = part.column("media").to_pylist()
                 for raw, (image, coef) in zip(files, decoded(files), strict=True):

@@ -262,30 +262,123 @@ def test_url_rules():
 
 
 def test_url_words(spark):
-    seg, bayes = url_filter.trained()
-    assert seg.split("freecasinobets") == ["free", "casino", "bets"]
+    counts = Counter({"free": 50, "green": 40, "bets": 5, "house": 30, "a": 60})
+    seg = url_filter.Segmenter(counts)
+    assert seg.split("freegreenhouse") == ["free", "green", "house"]
     assert seg.split("zzqx") == ["zzqx"] and seg.split("") == []
-    score = lambda u: bayes.score(url_filter.tokens_of(*url_filter.parts(u), seg.split))
-    assert score("http://cheappills.example.net/en/1") > 0 and score("http://adult-x.example.org/") > 0 and score("http://free-bets.example.org/") > 0
-    assert score("http://thnews.example.net/en/1") < 0 and score("http://tionsh.example.net/en/9") < 0 and score("") < 0
-    got = url_filter.judged(spark.createDataFrame([(1, None), (2, "http://adult-x.example.org/x")], "page_id long, url string")).collect()
-    assert [r["verdict"] for r in got] == ["allow", "block"]
 
+    def cost(words):  # all ways to cut a name, unseen letters one by one
+        return sum(seg.cost.get(w, len(w) * (seg.unseen + 2.3) if w not in seg.cost else 0) for w in words)
 
-def test_quality(spark):
-    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
-    out = quality.sampled(documents, labels, texts=False)
-    got = {r["doc_id"]: r for r in out.collect()}
-    assert len(got) == 1000
-    y = {r["doc_id"]: r["quality"] for r in labels.collect()}
-    kept = {q: [got[i]["kept"] for i, v in y.items() if v == q] for q in (0, 1)}
-    assert sum(kept[1]) >= 0.99 * len(kept[1]) and sum(kept[0]) <= 0.2 * len(kept[0])
-    five = quality.sampled(documents, labels, 5, texts=False).where("kept").count()
-    assert five == 5
-    odd = spark.createDataFrame([(1, None), (2, ""), (None, "a b")], "doc_id long, text string")
-    assert quality.sampled(odd, labels).count() == 3
+    def cuts(name):
+        return [[]] if not name else [[name[:k], *rest] for k in range(1, len(name) + 1) for rest in cuts(name[k:])]
+
+    for name in ("freebets", "ahouse", "greenzz", "zafree"):
+        assert abs(cost(seg.split(name)) - min(map(cost, cuts(name)))) < 1e-9
+
+
+def test_url_models(spark):
+    documents = spark.createDataFrame([("green house garden green " * 3,), ("garden house tools tools",), (None,)], "text string")
+    pages = [(i, f"http://www.{h}.example.org/x{i}") for i, h in enumerate(["casinogarden", "casino-royal", "royal-bets", "greenhouse", "gardentools", "housetools", "green-garden"] * 3)]
+    df = spark.createDataFrame([*pages, (90, None), (91, "nothing"), (92, "http://royal.example.org/")], "page_id long, url string").withColumn("host", F.lit("clash"))
+    models = url_filter.fitted(df, documents)
+    seg, bayes = models
+    assert seg.split("casinogarden") == ["casino", "garden"] and seg.split("housetools") == ["house", "tools"]
+    # naive Bayes by hand
+    tokens = {r["page_id"]: url_filter.tokens_of(*url_filter.parts(r["url"]), seg.split) for r in df.collect() if r["url"]}
+    y = {i: any(w in url_filter.WEAK for w in t) for i, t in tokens.items()}
+    assert sum(y.values()) == 9
+    words = [Counter(w for i, t in tokens.items() if y[i] == k for w in t) for k in (False, True)]
+    import math
+
+    size = len(set(words[0]) | set(words[1]))
+    got = {r["page_id"]: r for r in url_filter.judged(df, models).collect()}
+    for i, t in tokens.items():
+        score = math.log((9 + 1) / (len(y) - 9 + 1)) + sum(math.log((words[1][w] + 1) / (sum(words[1].values()) + size)) - math.log((words[0][w] + 1) / (sum(words[0].values()) + size)) for w in t)
+        assert abs(got[i]["score"] - score) < 1e-9 and got[i]["verdict"] == ("block" if score > 0 else "allow")
+    assert got[92]["score"] > got[91]["score"] == got[90]["score"] == bayes.prior  # a word that goes with unwanted ones
+    assert [got[i]["host"] for i in (90, 91)] == ["", ""]
+    none = df.limit(0)
+    assert url_filter.judged(none, url_filter.fitted(none, documents.limit(0))).count() == 0
+
+
+def test_url_query(spark):
+    from svloom.llm.queries import queries
+
+    pages = {r["page_id"]: r["url"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url").collect()}
+    got = queries()["op7_url_filter"](spark, "/root/testdata/sf0.01").collect()
+    assert sorted(r["page_id"] for r in got) == sorted(pages)
+    for r in got:
+        host, path = url_filter.parts(pages[r["page_id"]])
+        fit = url_filter.fitting(host, path)
+        assert (r["host"], r["path"], r["rule"]) == (host, path, fit and fit[1]) and r["verdict"] in (fit[0],) if fit else ("allow", "block")
+
+
+def small_grams(text):
+    """(bucket of each n-gram), one by one."""
+    from xxhash import xxh3_64_intdigest as h
+
+    mask = (1 << 64) - 1
+    base = 0x9E3779B97F4A7C15
+    words = [h(w) for w in text.split()]
+
+    def mix(x):
+        x ^= x >> 32
+        x = x * 0xD6E8FEB86659FD93 & mask
+        return x ^ x >> 32
+
+    out = [mix((a + b * base) & mask) >> 48 for a, b in zip(words, words[1:], strict=False)]
+    return out + [(((text[i] << 16 | text[i + 1] << 8 | text[i + 2]) * base & mask) >> 48) + (1 << 16) for i in range(len(text) - 2)]
+
+
+def test_quality_against_brute_force(spark):
+    import math
+
+    documents = spark.read.parquet(f"{DATA}/documents.parquet")
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    rows = {r["doc_id"]: ((r["text"] or "").encode(), r["lang"]) for r in documents.collect()}
+    good = {r["doc_id"] for r in labels.collect() if r["quality"] == 1}
+    n_labels = labels.where("quality IS NOT NULL").count()
+    raw, target = defaultdict(Counter), defaultdict(Counter)
+    grams = {i: small_grams(t) for i, (t, _) in rows.items()}
+    for i, (_, lang) in rows.items():
+        for g in grams[i]:
+            raw[lang, g >> 16][g] += 1
+            if i in good:
+                target[lang, g >> 16][g] += 1
+    size = 1 << 16
+    weights = {}
+    n_raw, n_target = ({k: sum(c.values()) for k, c in x.items()} for x in (raw, target))
+    for i, (t, lang) in rows.items():
+        w = 0.0
+        for g in grams[i]:
+            k = lang, g >> 16
+            if k in n_target:
+                p = (raw[k][g] + 1) / (n_raw[k] + size)
+                w += math.log((target[k][g] / n_target[k] + p) / 2) - math.log(p)
+        weights[i] = w if t.split() else quality.EMPTY
+    got = {r["doc_id"]: r for r in quality.sampled(documents, labels, texts=False).collect()}
+    assert got.keys() == rows.keys()
+    assert all(math.isclose(got[i]["log_weight"], weights[i], rel_tol=1e-4, abs_tol=1e-3) for i in rows)
+    # Gumbel top-k: exactly the k largest keys
+    k = math.ceil(len(good) / n_labels * len(rows))
+    best = sorted(rows, key=lambda i: -got[i]["key"])[:k]
+    assert {i for i in rows if got[i]["kept"]} == set(best)
+    noise = [got[i]["key"] - got[i]["log_weight"] for i in rows if got[i]["log_weight"] > quality.EMPTY]
+    assert 0.3 < sum(noise) / len(noise) < 0.9 and max(noise) > 2 > min(noise)  # Gumbel's mean is 0.577
+
+
+def test_quality_cases(spark):
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (2, 1), (3, None), (None, 1), (4, 0)], "doc_id long, quality int")
+    odd = spark.createDataFrame([(8, None, "de", 5), (2, "", None, 6), (None, "a b", "en", 7), (1, "good words here", "en", 8), (1, "good words here", "en", 8), (4, " \n ", "en", 9), (9, "x" * 100_000, "en", 9)], "doc_id long, text string, lang string, kept int")
+    out = quality.sampled(odd, labels).collect()
+    assert len(out) == 7
+    weight = {r["text"]: r["log_weight"] for r in out}
+    assert weight[None] == weight[""] == weight[" \n "] == quality.EMPTY and weight["good words here"] > weight["x" * 100_000]
+    assert quality.sampled(odd, labels, 2).where("kept").select("text").distinct().count() == 1  # equal rows have equal keys
+    assert quality.sampled(odd.drop("lang"), labels.limit(0)).where("kept").count() == 7
     assert quality.sampled(odd.limit(0), labels).count() == 0
+    assert quality.sampled(spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet"), 5, texts=False).where("kept").count() == 5
 
 
 def test_quality_of_held_out_labels(spark):
@@ -301,3 +394,44 @@ def test_quality_of_held_out_labels(spark):
     assert len(good) == 4 and all(kept >= 0.9 * n for kept, n in good.values()), good
     bad = [kept for (q, _), v in by.items() if q == 0 for kept in v]
     assert sum(bad) <= 0.2 * len(bad)
+
+
+def test_substring_cases(spark, monkeypatch):
+    width = 35
+    passage = " ".join(f"p{i}" for i in range(50))
+    texts = [f"a {passage} b", f"c {passage}", None, "", "short", "x " * 5000, passage.upper()] + [" ".join(f"u{i}_{k}" for i in range(300)) for k in range(6)]
+    df = spark.createDataFrame([(i % 9 or None, t, i, "z") for i, t in enumerate(texts)], "doc_id long, text string, n_words int, removed string").repartition(3)
+    monkeypatch.setattr(substring_dedup, "RANGE_BYTES", 500)  # many ranges
+    # hashes that are equal in 64 bits only are told apart by the other 32
+    monkeypatch.setattr(substring_dedup, "ordered", substring_dedup.ordered)
+    got = substring_dedup.deduplicated(df, width, texts=True).collect()
+    assert len(got) == len(texts)
+    by = {r["text"]: r for r in got}
+    assert by["a b"]["n_removed"] == 50 and by["a b"]["removed"] == [[1, 51]] and by["c"]["removed"] == [[1, 51]]
+    assert by[None]["n_words"] == 0 and by["short"]["n_removed"] == 0 and by[passage.upper()]["n_removed"] == 0
+    assert [r["n_removed"] for r in got if r["n_words"] == 5000] == [5000]
+    assert substring_dedup.deduplicated(df.limit(0)).count() == 0
+
+
+def test_hashes_equal_in_64_bits():
+    import numpy as np
+
+    h = np.array([5, 5, 5, 7, 7, 9], np.uint64)
+    m = np.array([1, 2, 1, 3, 3, 4], np.uint32)
+    order, new = substring_dedup.ordered(h, m)
+    assert [(int(h[i]), int(m[i])) for i in order[new]] == [(5, 1), (5, 2), (7, 3), (9, 4)]
+    again = substring_dedup.unpacked(substring_dedup.packed(h, m))
+    assert (again[0] == h).all() and (again[1] == m).all()
+
+
+def test_knn_blocks(spark, monkeypatch):
+    import random
+
+    rng = random.Random(5)
+    rows = [(i, [float(rng.randint(-3, 3)) for _ in range(4)]) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for name, value in (("BLOCK", 20), ("CELLS", 64)):
+        monkeypatch.setattr(knn, name, value)
+    v = {i: [int(64 * x) for x in e] for i, e in rows}
+    expected = {(q, r, i, s) for q in v if q % 20 == 0 for r, (s, i) in enumerate(((-s, i) for s, i in sorted((-sum(a * b for a, b in zip(v[q], v[i], strict=True)), i) for i in v if i != q)[:5]), 1)}
+    assert {tuple(r) for r in knn.joined(df, F.col("vec_id") % 20 == 0, 5, pivots=7).collect()} == expected
