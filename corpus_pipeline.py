@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from svloom.llm.common import read_table, staged
+from svloom.llm.common import apart, read_table, staged
 from svloom.llm.near_dedup import classes_of
 from svloom.llm.packing import packed, pieces
 from svloom.llm.quality import sampled
@@ -14,27 +14,34 @@ from svloom.llm.substring_dedup import deduplicated
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier keeps, whole."""
-    return sampled(docs, read_table(spark, sf_dir, "labels")).where("kept").select(docs.columns)
+    """Documents that the classifier keeps, whole. Texts without words go; without good labels all stay."""
+    rows, back = apart(docs, ["doc_id", "text", "lang"])
+    return sampled(rows, read_table(spark, sf_dir, "labels")).where("kept").select(back)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8): the one with the smallest doc_id. Without a
-    doc_id, a row is no copy of anything."""
-    kept = classes_of(docs.select("doc_id", "text"), 5, 80).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left").where("kept_id IS NOT NULL OR doc_id IS NULL").select(docs.columns)
+    """One row of each group of near copies (five-word shingles, similarity 0.8): that with the smallest doc_id, a null one last, and of its
+    rows the first. Rows are numbered, so repeated doc_ids are documents of their own. Texts without words are no copies and stay."""
+    rows, back = apart(docs, ["doc_id", "text"])
+    rows = staged(rows.withColumn("row #", F.monotonically_increasing_id()), "numbered")
+    found = classes_of(rows.select(F.col("`row #`").alias("doc_id"), "text"), 5, 80).select(F.col("doc_id").alias("row #"), "component_id")
+    first = F.min_by("row #", F.struct(F.col("doc_id").isNull(), "doc_id", "row #"))
+    kept = found.join(rows.select("row #", "doc_id"), "row #").groupBy("component_id").agg(first.alias("row #")).select("row #")
+    return rows.join(kept, "row #", "left_semi").select(back)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the words of repeated windows of 35 words; texts without any stay as they are."""
-    out = deduplicated(docs, 35, texts=True)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+    """All documents, without the words of repeated windows of 35 words; texts without any stay as they are. n_chars, where there is such a
+    column, is that of the new text."""
+    rows, back = apart(docs, ["doc_id", "text", "n_chars"])
+    out = deduplicated(rows, 35, texts=True)
+    if "n_chars" in rows.columns:
+        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast(rows.schema["n_chars"].dataType))
+    return out.select(back)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document stands, in sequences of 1,024 tokens."""
+    """Where each piece of each document stands, in sequences of 1,024 tokens. A null or empty text is a piece of one token."""
     return packed(staged(pieces(docs, public_tokenizers.path("byte_bpe_50k.json")), "pieces"))
 
 
