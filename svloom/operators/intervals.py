@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .staging import staged
+
 #: Positions of one island window. Distinct starts in it bound a task's rows, however many events share a start.
 ISLAND_BIN = 1 << 20
 
@@ -12,17 +14,19 @@ ISLAND_BIN = 1 << 20
 def islands(df: DataFrame, keys: list[str], start: str, end: str, distance: int, names: tuple[str, str] = ("island_start", "island_end"), bin_size: int = ISLAND_BIN) -> DataFrame:
     """Adds the range of each row's gap cluster: a new one begins where start exceeds the largest end so far by more than ``distance``.
 
-    A key as hot as one chromosome does not end up in one task: rows shrink to one per key and start, windows run inside bins of
+    Rows with a null key or start have no place and go. A key as hot as one chromosome does not end up in one task: rows shrink to one per key and start, windows run inside bins of
     positions, and what crosses bins (largest end, open cluster) comes from one summary row per bin."""
     first, last = names
     spot = [*keys, start]
+    df = df.dropna(subset=spot)
     points = df.groupBy(*spot).agg(F.max(end).alias("__e")).withColumn("__bin", F.floor(F.col(start) / bin_size))
     bins = Window.partitionBy(*keys).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
     reach = points.groupBy(*keys, "__bin").agg(F.max("__e").alias("__m")).withColumn("__carry", F.max("__m").over(bins)).drop("__m")
     inside = Window.partitionBy(*keys, "__bin").orderBy(start)
     so_far = F.greatest(F.col("__carry"), F.max("__e").over(inside.rowsBetween(Window.unboundedPreceding, -1)))
     gap = so_far.isNull() | ((F.col(start) > so_far) & (F.col(start) - so_far > distance))
-    flagged = points.join(reach, [*keys, "__bin"]).withColumn("__open", F.when(gap, F.col(start)))
+    # a row for each start, staged: it is read four times below
+    flagged = staged(points.join(reach, [*keys, "__bin"]).withColumn("__open", F.when(gap, F.col(start))).drop("__carry"))
     opened = flagged.groupBy(*keys, "__bin").agg(F.max("__open").alias("__o")).withColumn("__before", F.max("__o").over(bins)).drop("__o")
     within = F.max("__open").over(inside.rowsBetween(Window.unboundedPreceding, 0))
     placed = flagged.join(opened, [*keys, "__bin"]).withColumn(first, F.coalesce(within, F.col("__before")))

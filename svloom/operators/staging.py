@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame
 
 
 def staged(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the shared folder that spark.checkpoint.dir names; a temporary one only where the session names none (tests)."""
+    """``df`` as a table in the shared folder that spark.checkpoint.dir names. Where the session names none, a temporary one serves a local
+    master, whose executors are this machine; any other master is an error."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="svloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder.rstrip('/')}/stage-{uuid.uuid4().hex}"

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import bisect
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.stats import upper_median_of
 from .evidence import MATE_UNMAPPED, has
@@ -17,39 +19,72 @@ STATE = ["strand_pr", "strand_sa", "up_pr", "up_sa"]
 POSITION = "chrom_pr string, chrom_sa string, target_break_pr long, target_break_sa long, strand_pr string, strand_sa string, up_pr boolean, up_sa boolean, breaks_pr array<long>, breaks_sa array<long>, starts_pr array<long>, starts_sa array<long>, support_sr long, cipos long"
 
 
-def collapse_group(rows: pd.DataFrame, reach: int, stranded: bool) -> pd.DataFrame:
-    """Greedy collapse in the order of rec_idx: a row joins every position whose two running upper medians are nearer than reach, else
-    it makes a new one. Strands and sides must be equal; if not stranded, all opposite will do too."""
-    found: list[dict] = []
-    for r in rows.sort_values(["rec_idx", "sa_idx", "target_break_pr", "target_break_sa"], kind="stable").itertuples(index=False):
-        state = tuple(getattr(r, c) for c in STATE)
+class Positions:
+    """The positions that one group has so far, by the stretch of ``reach`` bases that their primary median is in."""
+
+    def __init__(self, reach: int, stranded: bool):
+        self.reach, self.stranded = reach, stranded
+        self.found: list[dict] = []
+        self.at: dict[int, set[int]] = {}
+
+    def add(self, r: dict) -> None:
+        """A row joins every position whose two running upper medians are nearer than reach, else it makes a new one. Strands and sides must
+        be equal; if not stranded, all opposite will do too."""
+        state = tuple(r[c] for c in STATE)
+        pr, sa = r["target_break_pr"], r["target_break_sa"]
+        bin_ = pr // self.reach
         joined = False
-        for x in found:
+        for i in sorted(i for k in (bin_ - 1, bin_, bin_ + 1) for i in self.at.get(k, ())):
+            x = self.found[i]
             same = sum(a == b for a, b in zip(x["state"], state, strict=True))
-            if (same == 4 or not stranded and same == 0) and abs(r.target_break_pr - x["pr"]) < reach and abs(r.target_break_sa - x["sa"]) < reach:
-                bisect.insort(x["breaks_pr"], r.target_break_pr)
-                bisect.insort(x["breaks_sa"], r.target_break_sa)
-                x["starts_pr"].append(r.aln_start_pr)
-                x["starts_sa"].append(r.aln_start_sa)
+            if (same == 4 or not self.stranded and same == 0) and abs(pr - x["pr"]) < self.reach and abs(sa - x["sa"]) < self.reach:
+                bisect.insort(x["breaks_pr"], pr)
+                bisect.insort(x["breaks_sa"], sa)
+                x["starts_pr"].append(r["aln_start_pr"])
+                x["starts_sa"].append(r["aln_start_sa"])
+                before = x["pr"] // self.reach
                 x["pr"], x["sa"] = (x[f"breaks_{s}"][len(x["breaks_pr"]) // 2] for s in ("pr", "sa"))
+                if x["pr"] // self.reach != before:
+                    self.at[before].discard(i)
+                    self.at.setdefault(x["pr"] // self.reach, set()).add(i)
                 joined = True
         if not joined:
-            found.append({"state": state, "pr": r.target_break_pr, "sa": r.target_break_sa, "breaks_pr": [r.target_break_pr], "breaks_sa": [r.target_break_sa], "starts_pr": [r.aln_start_pr], "starts_sa": [r.aln_start_sa], "cipos": r.precision})
-    first = rows.iloc[0]
-    out = [(first.chrom_pr, first.chrom_sa, x["pr"], x["sa"], *x["state"], x["breaks_pr"], x["breaks_sa"], x["starts_pr"], x["starts_sa"], len(x["breaks_pr"]), None if pd.isna(x["cipos"]) else int(x["cipos"])) for x in found]
-    frame = pd.DataFrame(out, columns=[c.split()[0] for c in POSITION.split(", ")])
-    return frame.astype({"cipos": "Int64"})
+            self.at.setdefault(bin_, set()).add(len(self.found))
+            self.found.append({"state": state, "pr": pr, "sa": sa, "breaks_pr": [pr], "breaks_sa": [sa], "starts_pr": [r["aln_start_pr"]], "starts_sa": [r["aln_start_sa"]], "cipos": r["precision"]})
+
+    def rows(self, chroms: tuple) -> list[dict]:
+        return [dict(zip(["chrom_pr", "chrom_sa", "target_break_pr", "target_break_sa", *STATE], (*chroms, x["pr"], x["sa"], *x["state"]), strict=True)) | {k: x[k] for k in ("breaks_pr", "breaks_sa", "starts_pr", "starts_sa", "cipos")} | {"support_sr": len(x["breaks_pr"])} for x in self.found]
 
 
 def collapsed(evidence: DataFrame, reach: int = 5, stranded: bool = False) -> DataFrame:
-    """Read evidence as positions. Rows that a gap of ``reach`` separates never meet, so each chromosome pair is cut at the gaps of both
-    breaks first: groups are as small as the data's own clusters."""
+    """Read evidence as positions: a greedy collapse in the order of rec_idx. Rows that a gap of ``reach`` separates never meet, so each
+    chromosome pair is cut at the gaps of both breaks first: groups are as small as the data's own clusters. Sorted partitions stream
+    through Arrow, one group in memory at a time."""
     keys = ["chrom_pr", "chrom_sa"]
     cut = evidence.withColumns({"__p": F.col("target_break_pr") + 1, "__s": F.col("target_break_sa") + 1})
     cut = islands(cut, keys, "target_break_pr", "__p", reach, ("__i", "__ie"))
     cut = islands_within(cut, [*keys, "__i"], "target_break_sa", "__s", reach, ("__j", "__je"))
-    wanted = ["rec_idx", "sa_idx", *keys, "target_break_pr", "target_break_sa", *STATE, "aln_start_pr", "aln_start_sa", "precision", "__i", "__j"]
-    return cut.select(*wanted).groupBy(*keys, "__i", "__j").applyInPandas(lambda rows: collapse_group(rows, reach, stranded), POSITION)
+    group = [*keys, "__i", "__j"]
+    order = ["rec_idx", "sa_idx", "target_break_pr", "target_break_sa"]
+    rows = cut.select(*group, *order, *STATE, "aln_start_pr", "aln_start_sa", "precision").repartition(*group).sortWithinPartitions(*group, *order)
+    schema = to_arrow_schema(rows.sparkSession.createDataFrame([], POSITION).schema)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = None, None
+        for batch in batches:
+            done = []
+            for r in batch.to_pylist():
+                key = tuple(r[c] for c in group)
+                if key != now:
+                    if state:
+                        done += state.rows(now[:2])
+                    now, state = key, Positions(reach, stranded)
+                state.add(r)
+            yield pa.RecordBatch.from_pylist(done, schema)
+        if state:
+            yield pa.RecordBatch.from_pylist(state.rows(now[:2]), schema)
+
+    return rows.mapInArrow(walk, POSITION)
 
 
 def windows(positions: DataFrame, reach: int = 500) -> DataFrame:
@@ -98,8 +133,8 @@ def median_depth(wins: DataFrame, alignments: DataFrame, reach: int = 500, bin_s
 
 def with_support(positions: DataFrame, alignments: DataFrame, reach: int = 500) -> DataFrame:
     """positions with support_sp and sp_ratio, the smaller of both sides' support by median depth; 0 without reads."""
-    positions = staged(positions)
-    numbered = positions if "pos" in positions.columns else positions.withColumn("pos", F.xxhash64(*[c for c in positions.columns if not c.startswith("__")]))
+    # a position's number is part of the staged table, so it is the same wherever it is read
+    numbered = staged(positions if "pos" in positions.columns else positions.withColumn("pos", F.monotonically_increasing_id()))
     wins = windows(numbered, reach)
     reads = overlapping(wins, alignments)
     depth = median_depth(wins, alignments, reach).groupBy("pos").pivot("side", ["pr", "sa"]).agg(F.first("depth"))

@@ -24,7 +24,7 @@ def fragment_calls(spark: SparkSession, reads: str | DataFrame, features: str |
     calls = evidence.fragment_calls(found, max_distance, features is not None)
     if features is None:
         return calls.withColumn("fusion_genes", F.array("genes"))
-    calls = calls.withColumn("call", F.xxhash64(*calls.columns))
+    calls = calls.withColumn("call", F.monotonically_increasing_id())  # staged with the calls
     return annotate.annotated(calls, annotate.used_features(gtf.features(spark, features, feature), calls), stranded).drop("call")
 
 
@@ -37,7 +37,7 @@ def paired_calls(spark: SparkSession, reads: str | DataFrame, features: str | No
     calls = evidence.position_calls(positions, max_distance, features is not None)
     if features is None:
         return calls.withColumn("fusion_genes", F.array("genes"))
-    calls = calls.withColumn("call", F.xxhash64(*calls.columns))
+    calls = calls.withColumn("call", F.monotonically_increasing_id())  # staged with the calls
     return annotate.annotated(calls, annotate.used_features(gtf.features(spark, features, feature), calls), stranded).drop("call")
 
 

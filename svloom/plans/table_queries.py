@@ -147,7 +147,8 @@ def clip_sql(c: str) -> tuple[str, str]:
 
 
 def evaluated_sql(source: str, cigar: str, nm: str, start: str, strand: str, prefix: str = "") -> str:
-    """A SELECT of source's columns and the evaluation's, each with the prefix; rows without a breakpoint have null fp_target."""
+    """A SELECT of source's columns and the evaluation's, each with the prefix; rows without a breakpoint have null fp_target. The similarity is
+    a number of single precision, as operators and their cut-offs have it."""
     up, down = clip_sql(cigar)
     p = prefix
     return f"""SELECT *, CASE WHEN {p}bt IS NOT NULL AND {p}bq IS NOT NULL AND {cigar} <> '*' AND {p}nmatch > 0 THEN {p}bt END AS {p}fp_target, CASE WHEN {p}bt IS NOT NULL THEN {p}bq END AS {p}fp_query, {start} + {p}match_length_s - 1 AS {p}aln_end FROM (
@@ -155,7 +156,7 @@ def evaluated_sql(source: str, cigar: str, nm: str, start: str, strand: str, pre
   CASE WHEN {strand} = '+' AND {p}upstream > {p}downstream THEN {p}upstream WHEN {strand} = '+' AND {p}upstream < {p}downstream THEN {p}seq_length - {p}downstream - 1
    WHEN {strand} = '-' AND {p}upstream > {p}downstream THEN {p}seq_length - {p}upstream - 1 WHEN {strand} = '-' AND {p}upstream < {p}downstream THEN {p}downstream END AS {p}bq FROM (
   SELECT *, {up} AS {p}upstream, {down} AS {p}downstream, {sum_sql(cigar, 'HSMIX=')} AS {p}seq_length, {sum_sql(cigar, 'MX=')} AS {p}match_length, {sum_sql(cigar, 'MNDX=')} AS {p}match_length_s, {count_sql(cigar, 'M=')} AS {p}nmatch,
-   CAST(100.0 * (CASE WHEN {count_sql(cigar, 'M')} > 0 THEN {sum_sql(cigar, 'M')} ELSE {sum_sql(cigar, '=')} END - {nm}) / nullif({sum_sql(cigar, 'MDIX=')} - {count_sql(cigar, 'DI')}, 0) AS DOUBLE) AS {p}sim FROM {source}))"""
+   CAST(100.0 * (CASE WHEN {count_sql(cigar, 'M')} > 0 THEN {sum_sql(cigar, 'M')} ELSE {sum_sql(cigar, '=')} END - {nm}) / nullif({sum_sql(cigar, 'MDIX=')} - {count_sql(cigar, 'DI')}, 0) AS FLOAT)::DOUBLE AS {p}sim FROM {source}))"""
 
 
 @query("cigar_eval", f"""SELECT cigar, nm, start, strand, fp_target, upstream, downstream, round(sim, 3) AS similarity, seq_length, match_length, match_length_s, fp_query, aln_end FROM ({evaluated_sql("(" + CIGARS + ")", "cigar", "nm", "start", "strand")}) WHERE fp_target IS NOT NULL""")
@@ -476,13 +477,13 @@ def precision_stddev(spark, d):
 
 READS = "SELECT concat('q', CAST(l_orderkey AS STRING)) AS qname, CAST(l_suppkey % 3 AS STRING) AS chrom, (l_partkey * 9973 + l_orderkey * 31) % 400000 AS aln_start, (l_partkey * 9973 + l_orderkey * 31) % 400000 + CAST(l_quantity AS BIGINT) * 4 AS aln_end, CASE WHEN l_linenumber % 6 = 0 THEN 9 ELSE 1 END AS flag, CAST((l_suppkey + 1 + l_linenumber % 2) % 3 AS STRING) AS mate_rname FROM lineitem"
 POSITIONS = f"SELECT id AS pos, chr1 AS chrom_pr, st1 * 2 AS target_break_pr, f1 AS strand_pr, id % 4 = 0 AS up_pr, chr2 AS chrom_sa, st2 * 2 AS target_break_sa, f2 AS strand_sa, id % 4 <> 0 AS up_sa FROM ({PAIRS}) AS h"
-# the SQL still takes every twentieth of the positions, so it agrees with the queries on those only
-SPOTS = f"{POSITIONS} WHERE id % 40 = 0"
-WINDOWS = f"""WITH c AS ({SPOTS}), al AS ({READS}), w AS (SELECT pos, 'pr' AS side, chrom_pr AS chrom, chrom_sa AS other, CASE WHEN up_pr = (strand_pr = '+') THEN greatest(target_break_pr - 500, 0) ELSE target_break_pr END AS w_start, CASE WHEN up_pr = (strand_pr = '+') THEN target_break_pr ELSE target_break_pr + 500 END AS w_end FROM c
+W_CTES = """w AS (SELECT pos, 'pr' AS side, chrom_pr AS chrom, chrom_sa AS other, CASE WHEN up_pr = (strand_pr = '+') THEN greatest(target_break_pr - 500, 0) ELSE target_break_pr END AS w_start, CASE WHEN up_pr = (strand_pr = '+') THEN target_break_pr ELSE target_break_pr + 500 END AS w_end FROM c
  UNION ALL SELECT pos, 'sa', chrom_sa, chrom_pr, CASE WHEN up_sa = (strand_sa = '+') THEN greatest(target_break_sa - 500, 0) ELSE target_break_sa END, CASE WHEN up_sa = (strand_sa = '+') THEN target_break_sa ELSE target_break_sa + 500 END FROM c),
  o AS (SELECT w.*, al.* EXCLUDE (chrom) FROM w JOIN al ON w.chrom = al.chrom AND w_start < aln_end AND aln_start < w_end WHERE w_start < w_end),
  sp AS (SELECT pos, count(*) AS support_sp FROM (SELECT pos, qname FROM o WHERE flag & 8 = 0 AND mate_rname = other GROUP BY pos, qname HAVING count(DISTINCT side) = 2) GROUP BY pos),
- dep AS (SELECT pos, side, list_sort(list(n))[count(*) // 2 + 1] AS depth FROM (SELECT pos, side, p, count(*) AS n FROM (SELECT pos, side, unnest(range(greatest(aln_start, w_start), least(aln_end, w_end))) AS p FROM o) GROUP BY pos, side, p) GROUP BY pos, side)"""
+ dep AS (SELECT pos, side, list_sort(list(n))[count(*) // 2 + 1] AS depth FROM (SELECT pos, side, p, count(*) AS n FROM (SELECT pos, side, unnest(range(greatest(aln_start, w_start), least(aln_end, w_end))) AS p FROM o) GROUP BY pos, side, p) GROUP BY pos, side),
+ ratios AS (SELECT c.pos, coalesce(support_sp, 0) AS support_sp, least(CASE WHEN coalesce(p.depth, 0) > 0 THEN coalesce(support_sp, 0) / p.depth ELSE 0.0 END, CASE WHEN coalesce(s.depth, 0) > 0 THEN coalesce(support_sp, 0) / s.depth ELSE 0.0 END) AS sp_ratio FROM c LEFT JOIN sp ON c.pos = sp.pos LEFT JOIN dep p ON p.pos = c.pos AND p.side = 'pr' LEFT JOIN dep s ON s.pos = c.pos AND s.side = 'sa')"""
+WINDOWS = f"WITH c AS ({POSITIONS}), al AS ({READS}), {W_CTES}"
 
 
 def reads_of(spark, d):
@@ -501,30 +502,51 @@ def coverage_median(spark, d):
     return support.median_depth(support.windows(spots), reads)
 
 
-@query("sp_ratio", f"""{WINDOWS} SELECT c.pos, coalesce(support_sp, 0) AS support_sp, round(least(CASE WHEN coalesce(p.depth, 0) > 0 THEN coalesce(support_sp, 0) / p.depth ELSE 0.0 END, CASE WHEN coalesce(s.depth, 0) > 0 THEN coalesce(support_sp, 0) / s.depth ELSE 0.0 END), 6) AS sp_ratio FROM c LEFT JOIN sp ON c.pos = sp.pos LEFT JOIN dep p ON p.pos = c.pos AND p.side = 'pr' LEFT JOIN dep s ON s.pos = c.pos AND s.side = 'sa'""")
+@query("sp_ratio", f"{WINDOWS} SELECT pos, support_sp, round(sp_ratio, 6) AS sp_ratio FROM ratios")
 def sp_ratio(spark, d):
     return support.with_support(*reads_of(spark, d)).select("pos", "support_sp", F.round("sp_ratio", 6).alias("sp_ratio"))
 
 
-@query("sr_collapse", None)
+# the collapse row by row, as it is defined: the state is the list of positions found so far
+JOINS = "(4 - (x.s1 <> t.strand_pr)::INT - (x.s2 <> t.strand_sa)::INT - (x.u1 <> t.up_pr)::INT - (x.u2 <> t.up_sa)::INT) IN (0, 4) AND abs(t.target_break_pr - list_sort(x.bp)[len(x.bp) // 2 + 1]) < 5 AND abs(t.target_break_sa - list_sort(x.bs)[len(x.bs) // 2 + 1]) < 5"
+NEW = "{'s1': t.strand_pr, 's2': t.strand_sa, 'u1': t.up_pr, 'u2': t.up_sa, 'bp': [t.target_break_pr], 'bs': [t.target_break_sa], 'ap': [t.aln_start_pr], 'a_s': [t.aln_start_sa]}"
+MORE = "{'s1': x.s1, 's2': x.s2, 'u1': x.u1, 'u2': x.u2, 'bp': list_append(x.bp, t.target_break_pr), 'bs': list_append(x.bs, t.target_break_sa), 'ap': list_append(x.ap, t.aln_start_pr), 'a_s': list_append(x.a_s, t.aln_start_sa)}"
+COLLAPSE = f"""{PRUNED.replace("WITH e AS", "WITH RECURSIVE e AS", 1)},
+ turn AS (SELECT *, row_number() OVER (PARTITION BY chrom_pr, chrom_sa ORDER BY rec_idx, sa_idx, target_break_pr, target_break_sa) AS i FROM pruned),
+ walk(chrom_pr, chrom_sa, i, found) USING KEY (chrom_pr, chrom_sa) AS (SELECT chrom_pr, chrom_sa, i, [{NEW}] FROM turn t WHERE i = 1
+  UNION SELECT w.chrom_pr, w.chrom_sa, t.i, CASE WHEN len(list_filter(w.found, lambda x: {JOINS})) > 0 THEN list_transform(w.found, lambda x: CASE WHEN {JOINS} THEN {MORE} ELSE x END) ELSE list_append(w.found, {NEW}) END FROM walk w JOIN turn t ON t.chrom_pr = w.chrom_pr AND t.chrom_sa = w.chrom_sa AND t.i = w.i + 1),
+ c AS (SELECT row_number() OVER () AS pos, chrom_pr, chrom_sa, list_sort(x.bp)[len(x.bp) // 2 + 1] AS target_break_pr, list_sort(x.bs)[len(x.bs) // 2 + 1] AS target_break_sa, x.s1 AS strand_pr, x.s2 AS strand_sa, x.u1 AS up_pr, x.u2 AS up_sa, CAST(len(x.bp) AS BIGINT) AS support_sr, list_sort(x.ap)[len(x.ap) // 2 + 1] AS aln_start_pr, list_sort(x.a_s)[len(x.a_s) // 2 + 1] AS aln_start_sa, x.bp AS bp, x.bs AS bs
+  FROM (SELECT chrom_pr, chrom_sa, unnest(found) AS x FROM walk))"""
+
+
+@query("sr_collapse", f"{COLLAPSE} SELECT chrom_pr, chrom_sa, target_break_pr, target_break_sa, strand_pr, strand_sa, support_sr FROM c")
 def sr_collapse(spark, d):
     got = support.collapsed(evidence.pruned(evidence_of(spark, d)), 5)
     return got.select("chrom_pr", "chrom_sa", "target_break_pr", "target_break_sa", "strand_pr", "strand_sa", "support_sr")
 
 
-@query("position_calls", None)
+SPREAD = "list_concat(list_transform(bp, lambda y: abs(y - target_break_pr)), list_transform(bs, lambda y: abs(y - target_break_sa)))"
+POSITION_CALLS = f"""{COLLAPSE}, al AS (SELECT * REPLACE (concat('c', chrom) AS chrom, concat('c', mate_rname) AS mate_rname) FROM ({READS})), {W_CTES},
+ flat AS (SELECT c.*, support_sp, sp_ratio, CASE WHEN len({SPREAD}) > 2 THEN CAST(round(list_aggregate(list_transform({SPREAD}, lambda y: CAST(y AS DOUBLE)), 'stddev_samp')) AS BIGINT) END AS precision FROM c JOIN ratios USING (pos)),
+ laid AS ({CALLED[CALLED.index("SELECT *, CASE WHEN up_pr THEN chrom_pr"):CALLED.index("FROM pruned)),")]}FROM flat)),
+ called AS (SELECT CASE WHEN up_pr THEN 'NA--NA' ELSE concat(chrom_sa, '--', chrom_pr) END AS genes, precision AS fp_fuzzy, support_sr, support_sp, sp_ratio, CASE WHEN a_chrom = b_chrom THEN greatest(a_start, b_start) - least(a_end, b_end) END AS fusion_distance, a_chrom, a_start, a_end, CASE WHEN a_strand = '-' THEN a_start ELSE a_end END AS a_fp, a_strand, b_chrom, b_start, b_end, CASE WHEN b_strand = '-' THEN b_end ELSE b_start END AS b_fp, b_strand
+  FROM laid WHERE a_chrom <> b_chrom OR greatest(a_start, b_start) - least(a_end, b_end) > 10000)
+ SELECT * REPLACE (coalesce(fp_fuzzy, -1) AS fp_fuzzy, coalesce(fusion_distance, -1) AS fusion_distance, round(sp_ratio, 6) AS sp_ratio), CASE WHEN fp_fuzzy IS NULL OR fp_fuzzy > 10 OR support_sr + support_sp = 1 OR sp_ratio < 0.1 THEN 'FAILED' ELSE '.' END AS filter FROM called"""
+
+
+@query("position_calls", POSITION_CALLS)
 def position_calls(spark, d):
     positions = support.collapsed(evidence.pruned(evidence_of(spark, d)), 5)
     _, reads = reads_of(spark, d)
     reads = reads.withColumns({"chrom": F.concat(F.lit("c"), "chrom"), "mate_rname": F.concat(F.lit("c"), "mate_rname")})
     calls = evidence.position_calls(support.with_support(positions, reads))
-    return calls.withColumn("filter", evidence.quality_flag(F.col("fp_fuzzy"), F.col("support_sr") + F.col("support_sp"), F.col("sp_ratio"))).withColumn("sp_ratio", F.round("sp_ratio", 6))
+    calls = calls.withColumn("filter", evidence.quality_flag(F.col("fp_fuzzy"), F.col("support_sr") + F.col("support_sp"), F.col("sp_ratio")))
+    return calls.withColumns({c: F.coalesce(c, F.lit(-1)) for c in ("fp_fuzzy", "fusion_distance")} | {"sp_ratio": F.round("sp_ratio", 6)})
 
 
 # --- sequences, integration sites, linking reads
 
-# the SQL still cuts the letters to the first 60, so it agrees with the query on shorter texts only
-@query("revcomp", "SELECT doc_id, reverse(translate(substring(regexp_replace(text, '[^A-Za-z]', '', 'g'), 1, 60), 'ACGTacgt', 'TGCAtgca')) AS seq FROM documents")
+@query("revcomp", "SELECT doc_id, reverse(translate(regexp_replace(text, '[^A-Za-z]', '', 'g'), 'ACGTacgt', 'TGCAtgca')) AS seq FROM documents")
 def revcomp(spark, d):
     docs = spark.read.parquet(f"{d}/documents.parquet")
     return docs.select("doc_id", sequence.reverse_complement(F.regexp_replace("text", "[^A-Za-z]", "")).alias("seq"))
