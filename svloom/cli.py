@@ -32,7 +32,7 @@ def parser() -> argparse.ArgumentParser:
     add("fusion-reads", "names of reads on two genes", (("-b", "--bam"), str, ...), (("-i", "--similarity"), float, 98.0))
     add("cluster", "clusters over call files", (("-v", "--calls"), str, ...), (("-c", "--contigs"), str, ...), (("-f", "--is-list"), bool, False), (("-r", "--range"), int, 500), (("-m", "--multi-only"), bool, False), (("-p", "--purge"), bool, False), (("-u", "--unidirectional"), bool, False))
     add("subset", "calls in region pairs", (("-a", "--calls"), str, ...), (("-b", "--bedpe"), str, ...), (("-c", "--contigs"), str, None), (("-s", "--min-score"), int, None), (("-i", "--inverse"), bool, False))
-    add("merge", "two call sets together", (("-a", "--first"), str, ...), (("-b", "--second"), str, ...), (("-c", "--range"), int, 500), (("-d", "--fields"), str, "SR"), (("-s", "--simple"), bool, False))
+    add("merge", "two call sets together", (("-a", "--first"), str, ...), (("-b", "--second"), str, ...), (("-c", "--range"), int, 500), (("-d", "--fields"), str, "SR"), (("-s", "--simple"), bool, False), (("-n", "--flag"), str, "SUPPORTED"))
     add("junctions", "junction sequences", (("-i", "--calls"), str, ...), (("-r", "--reference"), str, ...), (("-s", "--simple-id"), bool, False), (("-e", "--range"), int, 500), (("-p", "--prefix"), str, "InSilico"))
     add("chromosomes", "calls on or off chromosomes", (("-a", "--calls"), str, ...), (("-c", "--chroms"), str, ...), (("-i", "--remove"), bool, False))
     add("integration", "integration sites", (("-i", "--bed"), str, ...), (("-r", "--reference"), str, None), (("-m", "--host"), str, "human"), (("-n", "--foreign"), str, "muERV"), (("-w", "--overlap"), int, 10))
@@ -75,8 +75,8 @@ def run(spark: SparkSession, argv: list[str]) -> None:
         text.write_lines(rows.select(F.col("line").alias("value")), a.out, [*head[:-1], f"##command={command}", *head[-1:]])
     elif a.program == "merge":
         fields = [x for x in a.fields.split(",") if x and x not in ("SDP", "SP", "SR", "FR")]
-        out = programs.merge_calls(spark, a.first, a.second, a.range, fields, a.simple)
-        text.write_lines(out.select(text.tab(*[F.col(c) for c in out.columns]).alias("value")), a.out, ["#" + "\t".join(out.columns)])
+        head, lines = programs.merged_lines(spark, a.first, a.second, a.range, fields, a.flag if a.simple else None)
+        text.write_lines(lines, a.out, [*head[:-1], f"##command={command}", *head[-1:]])
     elif a.program == "junctions":
         text.write_lines(text.fasta_lines(programs.junctions(spark, a.calls, a.reference, a.range), a.simple_id, a.prefix), a.out)
     elif a.program == "integration":

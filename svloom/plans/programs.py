@@ -82,6 +82,37 @@ def merge_calls(spark: SparkSession, path_a: str, path_b: str, reach: int = 500,
     return merge.merged(a, b, reach, list(fields))
 
 
+def merged_lines(spark: SparkSession, path_a: str, path_b: str, reach: int = 500, fields: list[str] = (), flag: str | None = None) -> tuple[list[str], DataFrame]:
+    """(header, lines(value) in order) of the merged call file: the lines of A in their order, with what the best B says appended to INFO, then
+    the rest of B by id. A call of both that had failed passes; other filters stay. With a ``flag`` only A's lines, the flag 0 or 1."""
+    head_a, head_b = vcf.header(spark, path_a), vcf.header(spark, path_b)
+    merge.reconciled(vcf.contigs_of(head_a), vcf.contigs_of(head_b))
+    out = merge_calls(spark, path_a, path_b, reach, fields, flag is not None)
+    if flag:
+        out = out.select(F.lit("A").alias("source"), F.col("a_id").alias("id"), F.lit(False).alias("passes"), text.info_text(**{flag: F.col("supported")}).alias("more"))
+    else:
+        numbers = {"TOPREAD": "topread"} | {k.upper(): k for k in ("sdp", "sp", "sr", "fr")} | {f: f for f in fields}
+        best = F.col("topread").isNotNull()
+        out = out.select("source", "id", best.alias("passes"), text.info_text(**{k: F.when(best, F.col(c)) for k, c in numbers.items()}, EVI=F.col("evidence")).alias("more"))
+    rows = None
+    for source, path in (("A", path_a), ("B", path_b)):
+        one = vcf.records(spark, path).select(F.lit(source).alias("source"), "id", "rec_idx", F.split("line", "\t").alias("f"), F.coalesce(F.col("filter").contains("FAILED"), F.lit(False)).alias("failed"))
+        rows = one if rows is None else rows.unionByName(one)
+    rows = rows.join(out, ["source", "id"])
+    state = F.when(F.col("passes") & F.col("failed"), "PASS").otherwise(F.col("f")[6])
+    info = F.when(F.col("f")[7] == ".", F.col("more")).otherwise(F.concat_ws(";", F.col("f")[7], "more"))
+    line = F.array_join(F.concat(F.slice("f", 1, 6), F.array(state, info), F.slice("f", 9, F.size("f"))), "\t")
+    lines = rows.orderBy("source", F.when(F.col("source") == "A", F.col("rec_idx")), "id").select(line.alias("value"))
+    known = "\n".join(head_a)
+    listed = vcf.contigs_of(head_a)
+    added = [f"##contig=<ID={c},length={n}>" for c, n in vcf.contigs_of(head_b).items() if c not in listed]
+    wanted = [] if flag else ["TOPREAD", "SDP", "SP", "SR", "FR", "EVI"]
+    added += [text.info_line(k) for k in wanted if f"##INFO=<ID={k}," not in known]
+    added += [f'##INFO=<ID={f},Number=1,Type=Integer,Description="none">' for f in fields if not flag and f"##INFO=<ID={f}," not in known]
+    added += [f'##INFO=<ID={flag},Number=1,Type=Integer,Description="Support by the other call set">'] * bool(flag)
+    return [*head_a[:-1], *added, *head_a[-1:]], lines
+
+
 def junctions(spark: SparkSession, path: str, reference: str, reach: int = 500) -> DataFrame:
     """id1, id2, sequence of each breakend pair."""
     p = mated(vcf.records(spark, path)).withColumns({"a1": bnd.parse_alt(F.col("x.alt")[0]), "a2": bnd.parse_alt(F.col("y.alt")[0])})

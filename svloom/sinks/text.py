@@ -50,7 +50,7 @@ def fragment_lines(calls: DataFrame) -> DataFrame:
 
 
 def paired_lines(calls: DataFrame) -> DataFrame:
-    return calls.select(tab(genes_text(calls), F.col("fp_fuzzy"), F.col("fusion_distance"), F.col("support_sr"), F.col("support_sp"), F.format_number("sp_ratio", "0.000"), *side("a"), *side("b")).alias("value"))
+    return calls.select(tab(genes_text(calls), F.col("fp_fuzzy"), F.col("fusion_distance"), F.col("support_sr"), F.col("support_sp"), F.format_string("%.3f", "sp_ratio"), *side("a"), *side("b")).alias("value"))
 
 
 def tsv_header(columns: list[str], command: str = "", version: str = "1") -> list[str]:
@@ -80,10 +80,15 @@ INFO = {
 }
 
 
+def info_line(field: str) -> str:
+    number, kind, what = INFO[field]
+    return f'##INFO=<ID={field},Number={number},Type={kind},Description="{what}">'
+
+
 def vcf_header(contigs: dict[str, int], fields: list[str], command: str = "", more: list[str] = ()) -> list[str]:
     out = ["##fileformat=VCFv4.2", *more]
     out += [f"##contig=<ID={c},length={n}>" for c, n in contigs.items()]
-    out += [f'##INFO=<ID={k},Number={INFO[k][0]},Type={INFO[k][1]},Description="{INFO[k][2]}">' for k in fields if k in INFO]
+    out += [info_line(k) for k in fields if k in INFO]
     out += ['##FILTER=<ID=FAILED,Description="Imprecise or poorly supported">'] + [f"##command={command}"] * bool(command)
     return [*out, "#" + "\t".join(["CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO"])]
 
@@ -94,8 +99,9 @@ def info_text(**fields: Column) -> Column:
 
 
 def vcf_lines(rows: DataFrame) -> DataFrame:
-    """rows(chrom, pos from 0, id, ref, alt, filter, info) as lines."""
-    return rows.select(F.concat_ws("\t", "chrom", (F.col("pos") + 1).cast("string"), "id", "ref", "alt", F.lit("."), "filter", "info").alias("value"))
+    """rows(chrom, pos from 0, id, ref, alt, filter, info) as lines; null is a point."""
+    fields = [F.col("chrom"), (F.col("pos") + 1).cast("string"), *[F.col(c) for c in ("id", "ref", "alt")], F.lit("."), F.col("filter"), F.col("info")]
+    return rows.select(F.concat_ws("\t", *[F.coalesce(c, F.lit(".")) for c in fields]).alias("value"))
 
 
 def breakend_rows(calls: DataFrame, prefix: str, contigs: DataFrame, reference: DataFrame | None, paired: bool) -> DataFrame:
