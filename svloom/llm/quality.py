@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_staged, encoded, read_table, slices, staged
+from .common import by_hash, drop_staged, encoded, read_table, slices, staged
 from .substring_dedup import rolling, word_hashes
 
 BITS, SLICES, SAMPLE, STRATA, SEED = 16, 32, 20_000, 16, 4
@@ -123,7 +123,7 @@ def weighed(texts: list[bytes], strata: np.ndarray, ratio: np.ndarray) -> np.nda
 def fitted(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
     """(log ratios, share of good ones among the labelled rows); the share is 1 without any."""
     clear = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"), F.max("quality").alias("most")).where("quality = most")
-    rows = clear.select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    rows = by_hash(clear.select("doc_id", "quality"), "doc_id", sample)
     texts = with_stratum(documents).select(F.col("doc_id").cast("long").alias("doc_id"), "stratum #", "text")
     some = texts.join(F.broadcast(rows), "doc_id").groupBy("doc_id", "quality").agg(F.min(F.struct("text", "stratum #")).alias("x"))
     some = staged(some.select("quality", "x.*"), "labelled")
