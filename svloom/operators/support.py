@@ -12,7 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.stats import upper_median_of
 from .evidence import MATE_UNMAPPED, has
-from .intervals import interval_join, islands, islands_within
+from .intervals import bins_of, interval_join, islands, islands_within
 from .staging import staged
 
 STATE = ["strand_pr", "strand_sa", "up_pr", "up_sa"]
@@ -87,27 +87,56 @@ def collapsed(evidence: DataFrame, reach: int = 5, stranded: bool = False) -> Da
     return rows.mapInArrow(walk, POSITION)
 
 
-def windows(positions: DataFrame, reach: int = 500) -> DataFrame:
-    """The stretch beside each break where supporting reads align: pos, side, chrom, other, w_start, w_end."""
-    out = None
-    for side, other in (("pr", "sa"), ("sa", "pr")):
+def both_windows(positions: DataFrame, reach: int = 500) -> DataFrame:
+    """The stretch beside each break where supporting reads align, both of a position in one row: pos, and chrom, start and end of either
+    side. An empty stretch has no reads."""
+    out = [F.col("pos")]
+    for side in ("pr", "sa"):
         at = F.col(f"target_break_{side}")
         before = F.col(f"up_{side}") == (F.col(f"strand_{side}") == "+")
-        one = positions.select("pos", F.lit(side).alias("side"), F.col(f"chrom_{side}").alias("chrom"), F.col(f"chrom_{other}").alias("other"), F.when(before, F.greatest(at - reach, F.lit(0))).otherwise(at).alias("w_start"), F.when(before, at).otherwise(at + reach).alias("w_end"))
-        out = one if out is None else out.unionByName(one)
-    return out.where("w_start < w_end")
+        start, end = F.when(before, F.greatest(at - reach, F.lit(0))).otherwise(at), F.when(before, at).otherwise(at + reach)
+        out += [F.col(f"chrom_{side}"), start.alias(f"{side}_start"), end.alias(f"{side}_end")]
+    return positions.select(*out)
+
+
+def windows(positions: DataFrame, reach: int = 500) -> DataFrame:
+    """The same with a row for each stretch that is not empty: pos, side, chrom, other, w_start, w_end."""
+    both = both_windows(positions, reach)
+    one = [both.select("pos", F.lit(side).alias("side"), F.col(f"chrom_{side}").alias("chrom"), F.col(f"chrom_{other}").alias("other"), F.col(f"{side}_start").alias("w_start"), F.col(f"{side}_end").alias("w_end")) for side, other in (("pr", "sa"), ("sa", "pr"))]
+    return one[0].unionByName(one[1]).where("w_start < w_end")
+
+
+def overlapping(wins: DataFrame, leads: DataFrame, bin_size: int = 1024) -> DataFrame:
+    """Windows with the reads that overlap them and have the mate on the chromosome of the position's other side."""
+    return interval_join(wins, leads.withColumnRenamed("mate_rname", "other"), ["chrom", "other"], ("w_start", "w_end"), ("aln_start", "aln_end"), bin_size)
+
 
+def split_pair_support(positions: DataFrame, alignments: DataFrame, reach: int = 500, bin_size: int = 1024, many: int = 32) -> DataFrame:
+    """pos, support_sp: names that are in both windows with the mate on the other's chromosome. Alignments need chrom, aln_start, aln_end,
+    qname, flag and mate_rname; reads without a name or a mate support nothing.
 
-def overlapping(wins: DataFrame, alignments: DataFrame, bin_size: int = 1024) -> DataFrame:
-    """Windows with the reads that overlap them; alignments need chrom, aln_start, aln_end besides qname, flag, mate_rname."""
-    return interval_join(wins, alignments.select("chrom", "aln_start", "aln_end", "qname", "flag", "mate_rname"), ["chrom"], ("w_start", "w_end"), ("aln_start", "aln_end"), bin_size)
+    Windows are far more often covered than supported, so reads meet their namesakes first, and those pairs the positions, by the bins of
+    both ends at once. Names of over ``many`` reads are too many pairs of their own: these meet the windows read by read, with the same
+    result."""
+    leads = alignments.where(~has(F.col("flag"), MATE_UNMAPPED) & F.col("mate_rname").isNotNull()).select("chrom", "aln_start", "aln_end", "qname", "mate_rname").dropna(subset=["qname"])
+    common = leads.groupBy("qname").agg(F.count("*").alias("n")).where(F.col("n") > many).select("qname")
 
+    ends = leads.join(common, "qname", "left_anti")
+    read = lambda side: [F.col(c).alias(f"{side}_{c}") for c in ("aln_start", "aln_end")]
+    first = ends.select("qname", F.col("chrom").alias("chrom_pr"), F.col("mate_rname").alias("chrom_sa"), *read("pr"))
+    second = ends.select("qname", F.col("chrom").alias("chrom_sa"), F.col("mate_rname").alias("chrom_pr"), *read("sa"))
+    pairs = first.join(second, ["qname", "chrom_pr", "chrom_sa"])
+    spots = both_windows(positions, reach).where("pr_start < pr_end AND sa_start < sa_end")
+    for side in ("pr", "sa"):
+        spots = spots.withColumn(f"__{side}", F.explode(bins_of(F.col(f"{side}_start"), F.col(f"{side}_end"), bin_size)))
+        pairs = pairs.withColumn(f"__{side}", F.explode(bins_of(F.col(f"{side}_aln_start"), F.col(f"{side}_aln_end"), bin_size)))
+    met = spots.join(pairs, ["chrom_pr", "chrom_sa", "__pr", "__sa"])
+    for side in ("pr", "sa"):
+        met = met.where(f"{side}_start < {side}_aln_end AND {side}_aln_start < {side}_end")
 
-def split_pair_support(reads: DataFrame) -> DataFrame:
-    """pos, support_sp: names that are in both windows with the mate on the other's chromosome."""
-    leads = reads.where(~has(F.col("flag"), MATE_UNMAPPED) & (F.col("mate_rname") == F.col("other")))
-    sides = leads.groupBy("pos", "qname").agg(F.count_distinct("side").alias("n")).where("n = 2")
-    return sides.groupBy("pos").agg(F.count("*").alias("support_sp"))
+    rest = overlapping(windows(positions, reach), leads.join(common, "qname", "left_semi"), bin_size)
+    rest = rest.groupBy("pos", "qname").agg(F.bit_or(F.when(F.col("side") == "pr", 1).otherwise(2)).alias("sides")).where("sides = 3")
+    return met.select("pos", "qname").distinct().unionByName(rest.select("pos", "qname")).groupBy("pos").agg(F.count("*").alias("support_sp"))
 
 
 def median_depth(wins: DataFrame, alignments: DataFrame, reach: int = 500, bin_size: int = 1024) -> DataFrame:
@@ -122,13 +151,16 @@ def median_depth(wins: DataFrame, alignments: DataFrame, reach: int = 500, bin_s
     end = start + bin_size + reach
     edges = dealt.select(*key, F.explode(F.array(step(start, 0), step(F.greatest(F.col("aln_start"), start), 1), step(F.least(F.col("aln_end"), end), -1), step(end, 0))).alias("e"))
     steps = edges.groupBy(*key, "e.at").agg(F.sum("e.d").alias("d"))
+    # depths are never null, and typed so: sorts and searches of such arrays are those of plain ints
     order = Window.partitionBy(*key).orderBy("at")
-    runs = steps.select(*key, "at", F.sum("d").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int").alias("depth"), F.lead("at").over(order).alias("to")).where("to IS NOT NULL")
+    runs = steps.select(*key, "at", F.coalesce(F.sum("d").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int"), F.lit(0)).alias("depth"), F.lead("at").over(order).alias("to")).where("to IS NOT NULL")
     sweeps = runs.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("at", "to", "depth"))).alias("runs"))
     depths = sweeps.select(*key, F.flatten(F.transform("runs", lambda x: F.array_repeat(x["depth"], (x["to"] - x["at"]).cast("int")))).alias("depths"))
     spots = wins.withColumn("__bin", F.floor(F.col("w_start") / bin_size)).join(depths, key)
     cut = F.slice("depths", (F.col("w_start") - start + 1).cast("int"), (F.col("w_end") - F.col("w_start")).cast("int"))
-    return spots.select("pos", "side", upper_median_of(F.filter(cut, lambda x: x > 0)).cast("long").alias("depth")).where("depth IS NOT NULL")
+    # a generator's output is computed once, however often it is read
+    covered = spots.select("pos", "side", F.explode(F.array(F.array_remove(cut, F.lit(0)))).alias("covered")).where(F.size("covered") > 0)
+    return covered.select("pos", "side", upper_median_of(F.col("covered")).cast("long").alias("depth"))
 
 
 def with_support(positions: DataFrame, alignments: DataFrame, reach: int = 500) -> DataFrame:
@@ -136,9 +168,8 @@ def with_support(positions: DataFrame, alignments: DataFrame, reach: int = 500)
     # a position's number is part of the staged table, so it is the same wherever it is read
     numbered = staged(positions if "pos" in positions.columns else positions.withColumn("pos", F.monotonically_increasing_id()))
     wins = windows(numbered, reach)
-    reads = overlapping(wins, alignments)
     depth = median_depth(wins, alignments, reach).groupBy("pos").pivot("side", ["pr", "sa"]).agg(F.first("depth"))
-    out = numbered.join(split_pair_support(reads), "pos", "left").join(depth, "pos", "left")
+    out = numbered.join(split_pair_support(numbered, alignments, reach), "pos", "left").join(depth, "pos", "left")
     sp = F.coalesce(F.col("support_sp"), F.lit(0).cast("long"))
     ratio = lambda c: F.when(F.coalesce(F.col(c), F.lit(0)) > 0, sp / F.col(c)).otherwise(0.0)
     return out.withColumns({"sp_ratio": F.least(ratio("pr"), ratio("sa")), "support_sp": sp}).drop("pr", "sa")

@@ -493,7 +493,7 @@ def reads_of(spark, d):
 @query("sp_support", f"{WINDOWS} SELECT * FROM sp")
 def sp_support(spark, d):
     spots, reads = reads_of(spark, d)
-    return support.split_pair_support(support.overlapping(support.windows(spots), reads))
+    return support.split_pair_support(spots, reads)
 
 
 @query("coverage_median", f"{WINDOWS} SELECT * FROM dep")
