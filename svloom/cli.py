@@ -5,12 +5,12 @@ from __future__ import annotations
 import argparse
 import sys
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .plans import programs
 from .sinks import text
-from .sources import alignments, fasta, vcf
+from .sources import alignments, fasta, lists, vcf
 
 
 def parser() -> argparse.ArgumentParser:
@@ -54,8 +54,12 @@ def run(spark: SparkSession, argv: list[str]) -> None:
         text.write_lines(lines, f"{a.out}/tsv", text.tsv_header(columns, command))
         if a.vcf and a.reference:
             paired = a.program == "paired"
-            ref = fasta.reference(spark, a.reference)
-            contigs = fasta.lengths(ref)
+            wanted = calls.select(F.explode(F.array(*[F.struct(F.col(f"{s}_chrom").alias("contig"), F.col(f"{s}_fp").alias("fp")) for s in "ab"])).alias("x")).select("x.*")
+            contigs = fasta.contig_lengths(spark, a.reference)
+            # a breakpoint beyond its contig moves to the last base
+            at = F.least(F.col("fp"), F.col("length") - 1)
+            wanted = wanted.join(F.broadcast(contigs), "contig").select("contig", at.alias("s"), (at + 1).alias("e"))
+            ref = fasta.reference(spark, a.reference, wanted=wanted)
             listed = alignments.bam_contigs(a.bam) if a.bam.endswith(".bam") else {r["contig"]: r["length"] for r in contigs.collect()}
             rows = text.breakend_rows(calls, "FUSION_PID" if paired else "FUSION_FID", contigs, ref, paired)
             fields = ["SVTYPE", "CIPOS", "GENE_FUSION", "MATEID", *(["SDP", "SP", "SR", "FR"] if paired else ["FRAG_ID", "FRAG_POS"])]
@@ -64,6 +68,8 @@ def run(spark: SparkSession, argv: list[str]) -> None:
         text.write_lines(programs.linking_reads(spark, a.bam, a.similarity).select(F.col("qname").alias("value")), a.out)
     elif a.program == "cluster":
         text.write_lines(text.bedpe_lines(programs.cluster_calls(spark, a.calls, a.contigs, a.range, a.is_list, a.multi_only, a.purge, a.unidirectional)), a.out)
+        if unknown := vcf.unknown(vcf.records(spark, lists.paths(spark, a.calls, a.is_list))):
+            print(f"{unknown} records are no paired breakend, insertion or deletion and were left out", file=sys.stderr)
     elif a.program in ("subset", "chromosomes", "correct"):
         if a.program == "subset":
             rows = programs.subset_calls(spark, a.calls, a.bedpe, a.contigs, a.min_score, a.inverse)
@@ -72,7 +78,11 @@ def run(spark: SparkSession, argv: list[str]) -> None:
         else:
             rows = programs.corrected_calls(spark, a.calls)
         head = vcf.header(spark, a.calls)
-        text.write_lines(rows.select(F.col("line").alias("value")), a.out, [*head[:-1], f"##command={command}", *head[-1:]])
+        kept = Observation("lines")
+        lines = rows.observe(kept, F.count("*").alias("kept")).select(F.col("line").alias("value"))
+        text.write_lines(lines, a.out, [*head[:-1], f"##command={command}", *head[-1:]])
+        total = vcf.records(spark, a.calls).count()
+        print(f"{kept.get['kept']} records kept, {total - kept.get['kept']} removed", file=sys.stderr)
     elif a.program == "merge":
         fields = [x for x in a.fields.split(",") if x and x not in ("SDP", "SP", "SR", "FR")]
         head, lines = programs.merged_lines(spark, a.first, a.second, a.range, fields, a.flag if a.simple else None)
@@ -81,7 +91,7 @@ def run(spark: SparkSession, argv: list[str]) -> None:
         text.write_lines(text.fasta_lines(programs.junctions(spark, a.calls, a.reference, a.range), a.simple_id, a.prefix), a.out)
     elif a.program == "integration":
         rows = programs.integration_calls(spark, a.bed, a.reference, a.host, a.foreign, a.overlap)
-        contigs = {r["contig"]: r["length"] for r in fasta.lengths(fasta.reference(spark, a.reference)).collect()} if a.reference else {}
+        contigs = {r["contig"]: r["length"] for r in fasta.contig_lengths(spark, a.reference).collect()} if a.reference else {}
         text.write_lines(text.vcf_lines(rows), a.out, text.vcf_header(contigs, ["SVTYPE", "Contig_ID", "ReadFragRef", "ReadFragAlien"], command))
 
 

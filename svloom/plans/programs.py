@@ -13,6 +13,7 @@ from ..sources import bed, bedpe, fasta, gtf, lists, vcf
 
 
 def read_alignments(spark: SparkSession, path: str, **options) -> DataFrame:
+    """Alignments of a BAM or SAM file; the options are those of the BAM source."""
     return al.bam(spark, path, **options) if path.endswith(".bam") else al.sam(spark, path)
 
 
@@ -62,6 +63,20 @@ def mated(records: DataFrame) -> DataFrame:
     return a.join(b, (F.col("x.id") == F.col("y.mate_id")) & (F.col("y.id") == F.col("x.mate_id")) & (F.col("x.id") < F.col("y.id")))
 
 
+def adjacent(records: DataFrame) -> DataFrame:
+    """Records with their mates, one row per pair, the first in the file as x: x, y. Every record must name a mate that names it, and every
+    id be there once; anything else is an error. One exchange by the pair of ids, no self-join."""
+    rows = records.withColumn("mate_id", F.col("info")["MATEID"])
+    named = F.col("id").isNotNull() & (F.coalesce("mate_id", F.lit("")) != "") & (F.col("id") != F.col("mate_id"))
+    id_ = F.when(named, F.col("id")).otherwise(F.raise_error(F.concat_ws(" ", F.lit("record without id or mate:"), "line"))).cast("string")
+    rows = rows.withColumn("id", id_)
+    pair = [F.least("id", "mate_id").alias("lo"), F.greatest("id", "mate_id").alias("hi")]
+    row = F.struct(*rows.columns)
+    both = rows.groupBy(*pair).agg(F.min_by(row, "rec_idx").alias("x"), F.max_by(row, "rec_idx").alias("y"), F.count("*").alias("n"))
+    fine = (F.col("n") == 2) & (F.col("x.id") == F.col("y.mate_id")) & (F.col("y.id") == F.col("x.mate_id"))
+    return both.where(F.when(fine, True).otherwise(F.raise_error(F.concat_ws(" ", F.lit("records are not mates of each other:"), "lo", "hi")).cast("boolean"))).select("x", "y")
+
+
 def subset_calls(spark: SparkSession, path: str, regions: str, contigs: str | None = None, min_score: int | None = None, inverse: bool = False) -> DataFrame:
     """Original lines of the breakend pairs that match region pairs, in the natural order of their ids: id, line."""
     p = mated(vcf.records(spark, path)).withColumns({"a1": bnd.parse_alt(F.col("x.alt")[0]), "a2": bnd.parse_alt(F.col("y.alt")[0])})
@@ -114,10 +129,14 @@ def merged_lines(spark: SparkSession, path_a: str, path_b: str, reach: int = 500
 
 
 def junctions(spark: SparkSession, path: str, reference: str, reach: int = 500) -> DataFrame:
-    """id1, id2, sequence of each breakend pair."""
-    p = mated(vcf.records(spark, path)).withColumns({"a1": bnd.parse_alt(F.col("x.alt")[0]), "a2": bnd.parse_alt(F.col("y.alt")[0])})
+    """id1, id2, sequence of each breakend pair, the first in the file as id1. Records that are not mates of each other are an error."""
+    p = adjacent(vcf.records(spark, path)).withColumns({"a1": bnd.parse_alt(F.col("x.alt")[0]), "a2": bnd.parse_alt(F.col("y.alt")[0])})
     pairs = p.select(F.col("x.id").alias("id1"), F.col("y.id").alias("id2"), F.col("x.chrom").alias("chr1"), F.col("x.pos").alias("p1"), F.col("a1.dir1").alias("d1"), F.col("y.chrom").alias("chr2"), F.col("y.pos").alias("p2"), F.col("a2.dir1").alias("d2"))
-    return integrate.junction_sequences(pairs, fasta.reference(spark, reference), reach)
+    wanted = None
+    for c, p in (("chr1", "p1"), ("chr2", "p2")):
+        near = pairs.select(F.col(c).alias("contig"), (F.col(p) - reach).alias("s"), (F.col(p) + reach + 1).alias("e"))
+        wanted = near if wanted is None else wanted.unionByName(near)
+    return integrate.junction_sequences(pairs, fasta.reference(spark, reference, wanted=wanted), reach)
 
 
 def chromosome_calls(spark: SparkSession, path: str, chroms: str, remove: bool = False) -> DataFrame:
@@ -129,7 +148,9 @@ def chromosome_calls(spark: SparkSession, path: str, chroms: str, remove: bool =
 
 def integration_calls(spark: SparkSession, path: str, reference: str | None = None, host: str = "human", foreign: str = "muERV", overlap: int = 10, kind: str = "INTEGRATION_ID") -> DataFrame:
     """VCF rows of integration sites."""
-    return text.site_rows(integrate.integration_sites(bed.lines(spark, path), host, foreign, overlap), kind, fasta.reference(spark, reference) if reference else None)
+    sites = integrate.integration_sites(bed.lines(spark, path), host, foreign, overlap)
+    wanted = sites.select(F.col("chrom").alias("contig"), F.col("site").alias("s"), (F.col("site") + 1).alias("e"))
+    return text.site_rows(sites, kind, fasta.reference(spark, reference, wanted=wanted) if reference else None)
 
 
 def corrected_mates(records: DataFrame) -> DataFrame:

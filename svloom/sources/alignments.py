@@ -1,13 +1,18 @@
 """SAM text and BAM files as alignments: rec_idx, qname, flag, rname, pos, mapq, cigar, mate_rname, mate_pos, sa, nm.
 
 SAM is split by Spark's text source. BAM is a data source of its own ("bam"): the file is cut at BGZF blocks, and each task finds the
-first record of its stretch by itself. Filters on flag and the wish for an SA tag can be given as options, before rows are made."""
+first record of its stretch by itself. Filters on flag, the wish for an SA tag and regions can be given as options, before rows are made.
+Regions (``chr:start-end`` from 0, half-open, separated by commas) read only the chunks that a .bai index beside the file names for them;
+without an index the whole file is read and the same rows come out."""
 
 from __future__ import annotations
 
+import bisect
+import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -46,8 +51,6 @@ def with_ends(alignments: DataFrame) -> DataFrame:
 
 def opened(path: str):
     """A random-access file of any store that Arrow knows."""
-    import re
-
     from pyarrow import fs
 
     store, at = fs.FileSystem.from_uri(path) if re.match(r"\w[\w+.-]*:/", path) else (fs.LocalFileSystem(), path)
@@ -159,14 +162,102 @@ def plausible(data: bytes, at: int, refs: int) -> int | None:
     return at + 4 + n
 
 
+def regions_of(text: str, refs: list[tuple[str, int]]) -> list[tuple[int, int, int]]:
+    """(reference, start, end) of ``chr:start-end`` entries; an entry without positions is the whole reference. Names may hold colons."""
+    number, out = {name: i for i, (name, _) in enumerate(refs)}, []
+    for entry in filter(None, text.split(",")):
+        name, _, span = entry.rpartition(":")
+        if entry in number:
+            name, span = entry, f"0-{refs[number[entry]][1]}"
+        start, _, end = span.partition("-")
+        if name not in number or not start.isdigit() or not end.isdigit() or int(start) >= int(end):
+            raise ValueError(f"not a region of this file: {entry}")
+        out.append((number[name], int(start), int(end)))
+    return out
+
+
+def region_bins(start: int, end: int) -> list[range]:
+    """The index's bins that may hold records overlapping [start, end), a range for each of its six levels."""
+    return [range(first + (start >> shift), first + ((end - 1) >> shift) + 1) for shift in range(14, 30, 3) for first in [((1 << (29 - shift)) - 1) // 7]]
+
+
+def read_index(raw: bytes) -> list[tuple[dict[int, list[tuple[int, int]]], list[int]]]:
+    """(chunks by bin, least offset of each 16,384 positions) of every reference in a .bai index."""
+    if raw[:4] != b"BAI\x01":
+        raise ValueError("not a BAI index")
+    at, out = 8, []
+    for _ in range(struct.unpack_from("<i", raw, 4)[0]):
+        bins: dict[int, list[tuple[int, int]]] = {}
+        n_bins = struct.unpack_from("<i", raw, at)[0]
+        at += 4
+        for _ in range(n_bins):
+            bin_, n = struct.unpack_from("<Ii", raw, at)
+            bins[bin_] = list(struct.iter_unpack("<QQ", raw[at + 8 : at + 8 + 16 * n]))
+            at += 8 + 16 * n
+        n = struct.unpack_from("<i", raw, at)[0]
+        out.append((bins, list(struct.unpack_from(f"<{n}Q", raw, at + 4))))
+        at += 4 + 8 * n
+    return out
+
+
+def region_chunks(index: list, regions: list[tuple[int, int, int]], stretch: int) -> list[tuple[int, int]]:
+    """Disjoint ranges of virtual offsets that hold all records overlapping the regions, longer ones cut where the index knows a record.
+
+    A region's records lie behind the least offset of its first 16,384 positions and, as the file is sorted, before any record of a bin that
+    begins at the region's end or later."""
+    levels = [(((1 << (29 - shift)) - 1) // 7, shift) for shift in range(29, 13, -3)]
+    later: dict[int, tuple[list[int], list[int]]] = {}
+    found = []
+    for ref, start, end in regions:
+        bins, least = index[ref] if ref < len(index) else ({}, [])
+        if ref not in later:
+            begins = sorted(((k - first << shift, min(bins[k])[0]) for k in bins if bins[k] for first, shift in levels if first <= k < first + (1 << 29 - shift)), reverse=True)
+            later[ref] = [x for x, _ in begins][::-1], list(accumulate((x for _, x in begins), min))[::-1]
+        at, offsets = later[ref]
+        k = bisect.bisect_left(at, end)
+        low = least[min(start >> 14, len(least) - 1)] if least else 0
+        high = offsets[k] if k < len(at) else 1 << 64
+        found += [(max(a, low), min(b, high)) for level in region_bins(start, end) for k in level if k in bins for a, b in bins[k] if b > low and a < high]
+    whole: list[list[int]] = []
+    for a, b in sorted(found):
+        if whole and a <= whole[-1][1]:
+            whole[-1][1] = max(whole[-1][1], b)
+        else:
+            whole.append([a, b])
+    known = sorted({x for ref in {r for r, _, _ in regions} if ref < len(index) for x in index[ref][1]})
+    out = []
+    for a, b in whole:
+        for x in known:
+            if a < x < b and (x >> 16) - (a >> 16) >= stretch:
+                out.append((a, x))
+                a = x
+        out.append((a, b))
+    return out
+
+
 class BamReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.stretch = options["path"], int(options.get("stretch", STRETCH))
         self.skip, self.require_sa = int(options.get("skip_flags", 0)), str(options.get("require_sa", "false")).lower() == "true"
+        self.regions = options.get("regions")
 
     def partitions(self):
-        size = opened(self.path).size()
-        return [InputPartition((a, min(a + self.stretch, size))) for a in range(0, max(size, 1), self.stretch)]
+        file = opened(self.path)
+        if self.regions is not None:
+            wanted = regions_of(self.regions, read_header(Blocks(file, 0)))
+            try:
+                index = opened(f"{self.path}.bai")
+            except FileNotFoundError:
+                pass
+            else:
+                # one stretch at least, or Spark reads without any
+                return [InputPartition((a, b, True)) for a, b in region_chunks(read_index(index.read()), wanted, self.stretch) or [(0, 0)]]
+        size = file.size()
+        return [InputPartition((a, min(a + self.stretch, size), False)) for a in range(0, max(size, 1), self.stretch)]
+
+    def overlaps(self, got: tuple, by_name: dict[str, list[tuple[int, int]]]) -> bool:
+        covered = max(1, sum(int(n) for n in re.findall(r"(\d+)[MDN=X]", got[5])))
+        return any(got[3] < end and got[3] + covered > start for start, end in by_name.get(got[2], ()))
 
     def first_record(self, file, start: int, refs: int) -> Blocks | None:
         """The stream at the first record that begins in a block beginning at or after ``start``: block starts are found by their marks,
@@ -210,11 +301,18 @@ class BamReader(DataSourceReader):
         return None
 
     def read(self, partition) -> Iterator[pa.RecordBatch]:
-        start, end = partition.value
+        start, end, virtual = partition.value
         file = opened(self.path)
         blocks = Blocks(file, 0)
         refs = read_header(blocks)
-        if start:
+        by_name: dict[str, list[tuple[int, int]]] = {}
+        for ref, a, b in regions_of(self.regions or "", refs):
+            by_name.setdefault(refs[ref][0], []).append((a, b))
+        if virtual:
+            blocks = Blocks(file, start >> 16)
+            blocks.need(start & 0xFFFF)
+            blocks.take(start & 0xFFFF)
+        elif start:
             blocks = self.first_record(file, start, len(refs))
             if blocks is None:
                 return
@@ -223,7 +321,10 @@ class BamReader(DataSourceReader):
             # a record belongs to the stretch in which the block of its first byte begins
             if not blocks.need(1):
                 break
-            if blocks.block_at >= end and self.begins_in(blocks, end):
+            # what is left after a record is of the last block read
+            if virtual and (blocks.block_at << 16) + blocks.last_size - (len(blocks.data) - blocks.pos) >= end:
+                break
+            if not virtual and blocks.block_at >= end and self.begins_in(blocks, end):
                 break
             raw = blocks.take(struct.unpack("<i", blocks.take(4))[0])
             flag = struct.unpack_from("<H", raw, 14)[0]
@@ -231,7 +332,7 @@ class BamReader(DataSourceReader):
             if flag & self.skip:
                 continue
             got = parse(raw, refs)
-            if self.require_sa and got[8] is None:
+            if self.require_sa and got[8] is None or self.regions is not None and not self.overlaps(got, by_name):
                 continue
             rows.append((start + n, *got))
             if len(rows) == 8192:

@@ -79,6 +79,12 @@ def variants(records: DataFrame, contigs: DataFrame | None = None, ignore_direct
     return {"pairs": pairs, "singles": singles, "indels": indels}
 
 
+def unknown(records: DataFrame) -> int:
+    """The number of records that ``variants`` leaves out. Counted by itself: a count observed on the way is lost where adaptive execution
+    finds a branch empty and drops it."""
+    return records.where(~F.coalesce(F.col("info")["SVTYPE"].isin("BND", "INS", "DEL"), F.lit(False))).count()
+
+
 def call_set(records: DataFrame, kind: str, simple: bool = False) -> DataFrame:
     """Two-allele breakend records with a mate, as one side of a merge. kind a: without sample, FRAG_ID unless simple; kind b: SP unless simple."""
     info = F.col("info")

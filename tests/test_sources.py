@@ -108,6 +108,108 @@ def test_bam_long_records(spark, tmp_path):
         assert sorted(int(r["qname"][4:]) for r in rows) == list(range(12))
 
 
+def header_of(names):
+    return b"BAM\x01" + struct.pack("<i", 0) + struct.pack("<i", len(names)) + b"".join(struct.pack("<i", len(n) + 1) + n + b"\0" + struct.pack("<i", 1 << 28) for n in names)
+
+
+def bin_of(start, end):
+    for first, shift in ((4681, 14), (585, 17), (73, 20), (9, 23), (1, 26)):
+        if start >> shift == (end - 1) >> shift:
+            return first + (start >> shift)
+    return 0
+
+
+def test_bam_regions(spark, tmp_path):
+    """Indexed reads give the rows of a whole read, whatever the cut; each record once, though regions overlap."""
+    rng, size = random.Random(5), 3000
+    places = sorted((rng.randrange(2), rng.randrange(3_000_000), rng.choice((1, 60, 20_000, 400_000))) for _ in range(1500))
+    data, starts = header_of([b"chr1", b"HLA:01"]), []
+    for i, (ref, pos, n) in enumerate(places):
+        name = f"read{i}".encode() + b"\0"
+        body = struct.pack("<iiBBHHHiiii", ref, pos, len(name), 60, 0, 1, 0, 0, -1, -1, 0) + name + struct.pack("<I", n << 4 | 3)
+        starts.append(len(data))
+        data += struct.pack("<i", len(body)) + body
+    blocks = [block(data[a : a + size]) for a in range(0, len(data), size)]
+    at = [sum(map(len, blocks[:k])) for k in range(len(blocks) + 1)]
+    virtual = lambda x: at[x // size] << 16 | x % size
+    bins, least = ({}, {}), ({}, {})
+    for (ref, pos, n), a, b in zip(places, starts, [*starts[1:], len(data)], strict=True):
+        bins[ref].setdefault(bin_of(pos, pos + n), []).append((virtual(a), virtual(b)))
+        for w in range(pos >> 14, (pos + n - 1 >> 14) + 1):
+            least[ref].setdefault(w, virtual(a))
+    index = b"BAI\x01" + struct.pack("<i", 2)
+    for ref in (0, 1):
+        index += struct.pack("<i", len(bins[ref])) + b"".join(struct.pack("<Ii", k, len(c)) + b"".join(struct.pack("<QQ", *x) for x in c) for k, c in bins[ref].items())
+        last = max(least[ref]) + 1
+        index += struct.pack("<i", last) + b"".join(struct.pack("<Q", least[ref].get(w, 0)) for w in range(last))
+    path = tmp_path / "r.bam"
+    path.write_bytes(b"".join(blocks) + block(b""))
+    cases = ("chr1:1000000-1000001", "chr1:0-20000,chr1:10000-500000,HLA:01:2000000-2100000", "HLA:01", "chr1:200000000-200000001")
+    wanted = [
+        [i for i, (ref, pos, n) in enumerate(places) if any(ref == r and pos < e and pos + n > s for r, s, e in spans)]
+        for spans in ([(0, 1_000_000, 1_000_001)], [(0, 0, 20_000), (0, 10_000, 500_000), (1, 2_000_000, 2_100_000)], [(1, 0, 1 << 28)], [])
+    ]
+    assert len(wanted[0]) > 3 and not wanted[3]
+    for indexed in (False, True):
+        if indexed:
+            (tmp_path / "r.bam.bai").write_bytes(index)
+        for stretch in (1 << 30, 5000):
+            for text, ids in zip(cases, wanted, strict=True):
+                rows = alignments.bam(spark, str(path), stretch=stretch, regions=text).collect()
+                assert sorted(int(r["qname"][4:]) for r in rows) == ids
+                assert len({r["rec_idx"] for r in rows}) == len(rows)
+    few, whole = (sum(b - a for a, b in alignments.region_chunks(alignments.read_index(index), [(0, s, e)], 1 << 30)) for s, e in ((0, 20_000), (0, 1 << 28)))
+    assert few * 5 < whole  # what the index leaves out is not read
+    for bad in ("chr9:0-5", "chr1:5-5", "chr1:x-5"):
+        with pytest.raises(Exception, match="not a region"):
+            alignments.bam(spark, str(path), regions=bad).collect()
+
+
+def test_fasta_index(spark, tmp_path):
+    """The same pieces with an index as without one; with wanted spans those that overlap them."""
+    rng = random.Random(2)
+    seqs = {"c1": "".join(rng.choices("ACGTacgtN", k=1003)), "c2": "A", "c3": "".join(rng.choices("ACGT", k=840))}
+    text, index = "", ""
+    for name, seq in seqs.items():
+        text += f">{name} more\n"
+        index += f"{name}\t{len(seq)}\t{len(text)}\t60\t61\n"
+        text += "".join(seq[a : a + 60] + "\n" for a in range(0, len(seq), 60))
+    path = put(tmp_path, "x.fa", text)
+    rows = lambda **more: sorted(map(tuple, fasta.reference(spark, path, 100, **more).collect()))
+    plain = rows()
+    assert "".join(r[3] for r in plain if r[0] == "c1") == seqs["c1"]
+    lengths = sorted(map(tuple, fasta.contig_lengths(spark, path).collect()))
+    put(tmp_path, "x.fa.fai", index)
+    assert rows() == plain
+    assert sorted(map(tuple, fasta.contig_lengths(spark, path).collect())) == lengths
+    wanted = spark.createDataFrame([("c1", 150, 201), ("c1", 199, 200), ("c3", -40, 1), ("c3", 790, 5000), ("c9", 0, 9), (None, 0, 9)], "contig string, s long, e long")
+    assert [r[:2] for r in rows(wanted=wanted)] == [("c1", 100), ("c1", 200), ("c3", 0), ("c3", 700), ("c3", 800)]
+    assert set(rows(wanted=wanted)) <= set(plain)
+
+
+def test_mates_and_counters(spark, tmp_path, capfd):
+    """Junctions want every record to name its mate, in any order of the file; the counts are those of the records."""
+    from svloom.cli import run
+
+    fa = put(tmp_path, "g.fa", ">2\n" + "ACGGT" * 10 + "\n>13\n" + "TTGCA" * 10 + "\n")
+    lines = ["2\t5\tz.1\tT\t]13:7]T\t.\tPASS\tSVTYPE=BND;MATEID=a.2", "2\t9\tq.1\tT\tT[13:8[\t.\tPASS\tSVTYPE=BND;MATEID=q.2", "13\t7\ta.2\tC\tC[2:5[\t.\tPASS\tSVTYPE=BND;MATEID=z.1", "13\t8\tq.2\tC\t]2:9]C\t.\tPASS\tSVTYPE=BND;MATEID=q.1"]
+    head = "##fileformat=VCFv4.2\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\n"
+    good = put(tmp_path, "good.vcf", head + "\n".join(lines) + "\n")
+    got = sorted(tuple(r)[:2] for r in programs.junctions(spark, good, fa, 4).collect())
+    assert got == [("q.1", "q.2"), ("z.1", "a.2")]  # the first in the file is the first of its pair
+    bad = {"no mate": lines[:3], "no id": [*lines, lines[0].replace("z.1", ".")], "other mate": [*lines[:3], lines[3].replace("MATEID=q.1", "MATEID=z.1")], "no MATEID": [*lines, "2\t5\td\tT\t<DEL>\t.\t.\tSVTYPE=DEL"], "twice": [*lines, lines[0]]}
+    for name, rows in bad.items():
+        with pytest.raises(Exception, match="record without id or mate|not mates of each other"):
+            programs.junctions(spark, put(tmp_path, f"{name}.vcf", head + "\n".join(rows) + "\n"), fa, 4).collect()
+    contigs = put(tmp_path, "contigs", "2\t50\n13\t50\n")
+    mixed = put(tmp_path, "mixed.vcf", head + "\n".join([*lines, "2\t5\td\tT\t<DUP>\t.\t.\tSVTYPE=DUP", "2\t5\te\tT\t<X>\t.\t.\tX=1"]) + "\n")
+    capfd.readouterr()
+    run(spark, ["cluster", "-v", mixed, "-c", contigs, "-o", str(tmp_path / "clusters")])
+    assert "2 records are no paired breakend" in capfd.readouterr().err
+    run(spark, ["chromosomes", "-a", mixed, "-c", put(tmp_path, "chr", "2\n"), "-o", str(tmp_path / "kept")])
+    assert "2 records kept, 4 removed" in capfd.readouterr().err
+
+
 def test_sam_paired(spark, tmp_path):
     lines = ["@SQ\tSN:A:0-530\tLN:530", "read\t17\tA:0-530\t475\t60\t56M94H\t*\t0\t0\t*\t*\tNM:i:0\tSA:Z:A:531,5,-,60S90M,60,0;", "read\t17\tA:531\t5\t60\t60S90M\t*\t0\t0\t*\t*\tNM:i:0\tSA:Z:A:0-530,475,-,56M94S,60,0;"]
     calls = programs.paired_calls(spark, put(tmp_path, "p.sam", "\n".join(lines) + "\n"), similarity=0.95)
