@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from svloom.llm.common import apart, read_table, staged
+from svloom.llm.common import apart, read_table, release, staged
 from svloom.llm.near_dedup import classes_of
 from svloom.llm.packing import packed, pieces
 from svloom.llm.quality import sampled
@@ -33,6 +33,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the words of repeated windows of 35 words; texts without any stay as they are. n_chars, where there is such a
     column, is that of the new text."""
+    release(spark)  # what the stages before have shuffled
     rows, back = apart(docs, ["doc_id", "text", "n_chars"])
     out = deduplicated(rows, 35, texts=True)
     if "n_chars" in rows.columns:
@@ -55,5 +56,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each stage's result is a table in the shared folder, which the next one reads."""
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}", free=True)
     return STAGES[-1][1](spark, docs, sf_dir)

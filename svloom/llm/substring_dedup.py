@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_lengths, encoded, read_table, shuffle_partitions, slices, staged
+from .common import byte_lengths, encoded, read_table, release, shuffle_partitions, slices, staged
 
 WIDTH = 35
 #: Text whose windows make up a range, and text that is finished in one partition.
@@ -189,7 +189,9 @@ def deduplicated(documents: DataFrame, width: int = WIDTH, texts: bool = False)
     volume = chunks.agg(F.sum("bytes #")).first()[0] or 0
     ranges = max(1, -(-volume // RANGE_BYTES))
     partitions = max(shuffle_partitions(spark), -(-volume // PARTITION_BYTES))
-    marks = staged(answers(chunks, width, ranges), "marks")
+    release(spark)  # what was shuffled before
+    # the shuffled hashes, which take more disk than all else here, go before chunks and answers are shuffled
+    marks = staged(answers(chunks, width, ranges), "marks", free=True)
     names = documents.columns
     if texts:
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema) + ", n_words long, n_removed long, removed array<array<long>>"

@@ -248,6 +248,25 @@ def test_warc(spark, tmp_path):
         index.unpersist()
 
 
+def test_substring_dedup_frees_its_hashes(spark):
+    """When the result is handed back, the shuffled hashes are not on disk any more."""
+    import time
+
+    def shuffled():
+        files = spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles())
+        return sum(f.length() for f in files if f.getName().startswith("shuffle_"))
+
+    before = shuffled()
+    df = spark.createDataFrame([(i, " ".join(f"w{i}_{k}" for k in range(2000))) for i in range(50)], "doc_id long, text string")
+    out = substring_dedup.deduplicated(df)
+    for _ in range(50):  # Spark deletes in the background
+        if shuffled() < before + 100_000:  # the hashes alone take a million bytes
+            break
+        time.sleep(0.2)
+    assert shuffled() < before + 100_000
+    assert out.count() == 50 and spark.conf.get(common.FREE, "false") == "false"
+
+
 def test_url_rules():
     f = url_filter.fitting
     assert f("www.example.com", "/en/1") == ("allow", "www.example.com/en/")
