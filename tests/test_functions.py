@@ -152,3 +152,9 @@ def test_integration(spark):
         rows = [(i, *x) for i, x in enumerate((host, alien) if first else (alien, host))]
         got = integrate.integration_sites(spark.createDataFrame(rows, "rec_idx long, read string, start long, end long, label string, strand string, target string"), "human", "muERV", overlap).collect()
         assert [(r["site"], r["direction"]) for r in got] == ([expected] if expected else [])
+
+
+def test_precision_at_halves(spark):
+    whole = [([6, 8, 22, 44, 49, 57, 77, 80, 92], 32), ([12, 30, 44, 46, 70, 71, 79, 86, 87], 27), ([0, 21, 25, 32, 49, 55, 59, 86, 93], 31), ([1, 2, 4], 2), ([5, 5, 5], 0), ([1, 2], None), ([], None), (None, None)]
+    df = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(whole)], "i int, x array<long>")
+    assert [r["p"] for r in df.select("i", stats.precision(F.col("x")).alias("p")).orderBy("i").collect()] == [p for _, p in whole]
