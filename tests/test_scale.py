@@ -64,3 +64,6 @@ def test_region_pairs_make_no_pairs(spark):
     kept = subset.by_region_pairs(pairs, areas)
     assert len(kept.collect()) == 3000
     assert made(kept) <= 6000
+    others = subset.by_region_pairs(pairs, areas, inverse=True)
+    assert others.collect() == []
+    assert made(others) <= 6000
