@@ -67,3 +67,6 @@ def test_region_pairs_make_no_pairs(spark):
     others = subset.by_region_pairs(pairs, areas, inverse=True)
     assert others.collect() == []
     assert made(others) <= 6000
+    none = subset.by_region_pairs(pairs, areas.unionByName(areas.withColumn("score", F.lit(0))), inverse=True, min_score=1)
+    assert none.collect() == []
+    assert made(none) <= 6000
