@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from svloom.operators import subset
+from svloom.operators import annotate, subset
 
 
 def made(df, *nodes: str) -> int:
@@ -70,3 +70,39 @@ def test_region_pairs_make_no_pairs(spark):
     none = subset.by_region_pairs(pairs, areas.unionByName(areas.withColumn("score", F.lit(0))), inverse=True, min_score=1)
     assert none.collect() == []
     assert made(none) <= 6000
+
+
+SPAN = "span long, chrom string, s long, e long, strand string"
+FEATURE = "chrom string, f_start long, f_end long, f_strand string, name string"
+
+
+def annotation(seed, n, reach, wide):
+    """Spans and features, some of no length or turned, some with nulls, some spans under one number."""
+    rng = random.Random(seed)
+    def place():  # noqa: E306
+        s = rng.randrange(-9, reach)
+        return rng.choice("1112"), s, s + rng.choice([0, -2, *[rng.randrange(1, wide) for _ in range(18)]]), rng.choice(["+", "-", "+", "-", None])
+    spans = [(rng.randrange(n * 3), *place()) for _ in range(n)] + [(-1, None, 1, 5, "+"), (-2, "1", None, 5, "+"), (-3, "1", 1, None, "+")]
+    features = [(*place(), rng.choice("abcdef")) for _ in range(n)] + [(None, 1, 5, "+", "a"), ("1", None, 5, "+", "a"), ("1", 1, None, "+", "b")]
+    return spans, features
+
+
+def scored(spans, features, stranded):
+    for i, c, s, e, d in spans:
+        for f, t, u, g, name in features:
+            if c is not None and c == f and None not in (s, e, t, u) and s < u and t < e:
+                yield i, c, name, min(e, u) - max(s, t), 10 * bool(stranded and d and d == g) + (10 if s == t else 1) + (10 if e == u else 5 if e < u else 1)
+
+
+@pytest.mark.parametrize("stranded", [True, False])
+def test_overlap_totals(spark, stranded):
+    spans, features = annotation(5, 150, 200000 if stranded else 90, 30000 if stranded else 20)
+    expected = {}
+    for _, c, name, *more in scored(spans, features, stranded):
+        expected[c, name] = [x + y for x, y in zip(expected.get((c, name), [0, 0, 0]), (1, *more), strict=True)]
+    got = annotate.overlap_totals(spark.createDataFrame(spans, SPAN), spark.createDataFrame(features, FEATURE), stranded)
+    assert {(r["chrom"], r["name"]): [r["n"], r["match_length"], r["score"]] for r in got.collect()} == expected
+    dense = spark.range(2000).selectExpr("id span", "'1' chrom", "id s", "id + 5000 e", "'+' strand"), spark.range(2000).selectExpr("'1' chrom", "id f_start", "id + 5000 f_end", "'+' f_strand", "'a' name")
+    many = annotate.overlap_totals(*dense, stranded)
+    assert [r["n"] for r in many.collect()] == [2000 * 2000]
+    assert made(many) <= 20000
