@@ -106,3 +106,22 @@ def test_overlap_totals(spark, stranded):
     many = annotate.overlap_totals(*dense, stranded)
     assert [r["n"] for r in many.collect()] == [2000 * 2000]
     assert made(many) <= 20000
+
+
+@pytest.mark.parametrize(("stranded", "reach", "wide"), [(True, 60, 20), (False, 60, 20), (True, 100000, 9000)])
+def test_best_features(spark, stranded, reach, wide):
+    spans, features = annotation(reach + stranded, 150, reach, wide)
+    best = {}
+    for i, _, name, _, score in scored(spans, features, stranded):
+        best.setdefault(i, {}).setdefault(score, set()).add(name)
+    got = annotate.best_features(spark.createDataFrame(spans, SPAN), spark.createDataFrame(features, FEATURE), stranded).collect()
+    assert {r["span"]: r["names"] for r in got} == {i: sorted(x[max(x)]) for i, x in best.items()}
+    assert len(got) == len(best) > 40
+
+
+def test_best_features_make_no_pairs(spark):
+    spans = spark.range(2000).selectExpr("id span", "'1' chrom", "id + 3000 s", "id + 3500 e", "'+' strand")
+    features = spark.range(2000).selectExpr("'1' chrom", "id f_start", "id + 9000 f_end", "'+' f_strand", "concat('g', id % 5) name")
+    kept = annotate.best_features(spans, features, True)
+    assert {tuple(r["names"]) for r in kept.collect()} == {("g0", "g1", "g2", "g3", "g4")}
+    assert kept.count() == 2000 and made(kept) <= 20000
